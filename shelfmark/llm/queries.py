@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.llm.encode import encode_column
+from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +31,18 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id, s
 """
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text", "byte_bpe_50k")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document."""
+    return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found}
+    return {"p3_found": p3_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
