@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.llm.encode import encode_column
+from shelfmark.llm.markup import clean_markup
 from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
 
@@ -31,6 +32,11 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id, s
 """
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with leftover markup, with the role the markup gives them."""
+    return clean_markup(table(spark, sf_dir, "blocks"), "block_id", "text", "block_type").filter("had_markup").select("block_id", "block_type")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text", "byte_bpe_50k")
@@ -42,7 +48,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
