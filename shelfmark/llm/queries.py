@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm.encode import encode_column
 from shelfmark.llm.markup import clean_markup
+from shelfmark.llm.neardup import near_duplicates, normal_text
 from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
 
@@ -32,6 +34,16 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id, s
 """
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and paths of different files that are nearly the same."""
+    chunks = table(spark, sf_dir, "chunks").select("file_id", F.concat_ws("#", "file_id", "chunk_index").alias("key"), normal_text(F.col("text")).alias("text"))
+    paths = table(spark, sf_dir, "files").filter("file_type = 'text'").select("id", "path_key")
+    by_chunk = near_duplicates(chunks, "key", "text", "file_id", width=5, threshold=0.7, bands=50, rows=6)
+    by_path = near_duplicates(paths, "id", "path_key", "id", width=3, threshold=0.8, bands=44, rows=9)
+    kinds = [df.select(F.lit(kind).alias("record_kind"), "key_a", "key_b") for kind, df in (("chunk", by_chunk), ("path", by_path))]
+    return kinds[0].unionByName(kinds[1])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with leftover markup, with the role the markup gives them."""
     return clean_markup(table(spark, sf_dir, "blocks"), "block_id", "text", "block_type").filter("had_markup").select("block_id", "block_type")
@@ -48,7 +60,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
