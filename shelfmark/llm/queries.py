@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm.encode import encode_column
+from shelfmark.llm.language import departing_languages, dominant_language, fit, segment_languages
 from shelfmark.llm.markup import clean_markup
 from shelfmark.llm.neardup import near_duplicates, normal_text
 from shelfmark.llm.sentences import split_sentences
@@ -34,6 +35,19 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id, s
 """
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of whole paragraphs of chunks that the label of the file doesn't name."""
+    model = fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    segments = segment_languages(table(spark, sf_dir, "chunks"), ["file_id", "chunk_index"], "text", model)
+    return departing_languages(segments, table(spark, sf_dir, "document_meta"), "file_id", "chunk_index", "language").select("file_id", "chunk_index", "lang")
+
+
+def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dominant language and confidence of every document that has letters."""
+    docs = table(spark, sf_dir, "documents")
+    return dominant_language(segment_languages(docs, ["doc_id"], "text", fit(docs, "doc_id", "text", "lang")), "doc_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks and paths of different files that are nearly the same."""
     chunks = table(spark, sf_dir, "chunks").select("file_id", F.concat_ws("#", "file_id", "chunk_index").alias("key"), normal_text(F.col("text")).alias("text"))
@@ -60,7 +74,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
