@@ -13,6 +13,7 @@ from shelfmark.llm.markup import clean_markup
 from shelfmark.llm.neardup import near_duplicates, normal_text
 from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
+from shelfmark.llm.vectors import similar_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select("vec_id", "vector_name", "vectors") for t in ("prepared_files", "prepared_segments")]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cosine 0.85 or more of which one is among the five most alike of the other."""
+    near = similar_vectors(_vectors(spark, sf_dir), "vec_id", "vector_name", "vectors", k=5, min_cosine=0.85)
+    return near.select(F.least("vec_id", "neighbour_id").alias("vec_id_a"), F.greatest("vec_id", "neighbour_id").alias("vec_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most alike of all vectors for every vector whose id is divisible by 50, without a least similarity."""
+    return similar_vectors(_vectors(spark, sf_dir), "vec_id", "vector_name", "vectors", k=5, queries=F.col("vec_id") % 50 == 0, length=16, rerank=256)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best results of every query, the same ones in every run."""
     top = top_n_per_group(table(spark, sf_dir, "hits"), "query_id", "score", ["file_id", "segment_index"], "hit_id", 5)
@@ -74,8 +91,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": P3_SQL}
