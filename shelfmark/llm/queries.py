@@ -11,6 +11,7 @@ from shelfmark.llm.encode import encode_column
 from shelfmark.llm.language import departing_languages, dominant_language, fit, segment_languages
 from shelfmark.llm.markup import clean_markup
 from shelfmark.llm.neardup import near_duplicates, normal_text
+from shelfmark.llm.packing import pack_containers
 from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
 from shelfmark.llm.vectors import similar_vectors
@@ -85,13 +86,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents"), ["doc_id"], "text", "byte_bpe_50k")
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers of every capacity of context_sizes (a table of few rows) with the documents they hold."""
+    capacities = {r.context_name: r.capacity_tokens for r in table(spark, sf_dir, "context_sizes").collect()}
+    return pack_containers(table(spark, sf_dir, "documents"), "doc_id", "text", capacities, group="lang")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document."""
     return split_sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
