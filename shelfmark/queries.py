@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.operators.incremental import ChangeTracker
+from shelfmark.functions import identity as I
+from shelfmark.functions import text as X
+from shelfmark.functions import vectors as V
+from shelfmark.operators import catalog as C
+from shelfmark.operators import metrics as M
+from shelfmark.operators import search as S
+from shelfmark.operators.filters import Condition, Predicate, apply_predicate
+from shelfmark.operators.incremental import ChangeTracker, bare_hash
 from shelfmark.operators.timestamps import normalise_timestamps
 from shelfmark.session import scratch_path
 
@@ -44,9 +52,427 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_timestamps(table(spark, sf_dir, "document_meta"), "meta_id", columns, "zone_id").filter(F.col("utc_us").isNotNull()).select("meta_id", "field_name", "utc_us")
 
 
+
+# ---- identity and scalar functions ------------------------------------------------------------
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p7_found": p7_found}
+SQL: dict[str, str] = {"p2_found": P2_SQL}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with the SQL that gives the same rows."""
+
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql is not None:
+            SQL[name] = sql
+        return run
+
+    return add
+
+
+@query(
+    "identity_file_ids",
+    f"""
+WITH h AS (SELECT DISTINCT path_key, sha1(unhex('{I.FILE_NAMESPACE.hex}') || encode(path_key)) AS d FROM files)
+SELECT path_key, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' ||
+       substr('89ab', (CAST(('0x' || substr(d, 17, 1)) AS INTEGER) % 4) + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS id FROM h
+""",
+)
+def identity_file_ids(spark, d):
+    return table(spark, d, "files").select("path_key").distinct().withColumn("id", I.file_id(F.col("path_key")))
+
+
+@query(
+    "identity_segment_ids",
+    f"""
+WITH h AS (SELECT DISTINCT file_id, segment_index, sha1(unhex('{I.SEGMENT_NAMESPACE.hex}') || encode(file_id) || '\\x00'::BLOB || encode(CAST(segment_index AS VARCHAR))) AS d
+           FROM prepared_segments WHERE segment_index >= 0)
+SELECT file_id, segment_index, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' ||
+       substr('89ab', (CAST(('0x' || substr(d, 17, 1)) AS INTEGER) % 4) + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS id FROM h
+""",
+)
+def identity_segment_ids(spark, d):
+    rows = table(spark, d, "prepared_segments").filter("segment_index >= 0").select("file_id", "segment_index").distinct()
+    return rows.withColumn("id", I.segment_id(F.col("file_id"), F.col("segment_index")))
+
+
+_FORMAT_SQL = """CASE ltrim_dot WHEN 'aif' THEN 'aiff' WHEN 'jpg' THEN 'jpeg' WHEN 'jfif' THEN 'jpeg' WHEN 'tif' THEN 'tiff' WHEN 'wave' THEN 'wav' ELSE ltrim_dot END"""
+
+
+@query("format_keys", f"SELECT extension, {_FORMAT_SQL} AS fmt, count(*) AS n FROM (SELECT extension, regexp_replace(lower(trim(extension)), '^\\.', '') AS ltrim_dot FROM files) GROUP BY ALL")
+def format_keys(spark, d):
+    return table(spark, d, "files").groupBy("extension").agg(F.count(F.lit(1)).alias("n")).select("extension", I.format_key(F.col("extension")).alias("fmt"), "n")
+
+
+@query(
+    "file_types",
+    "SELECT CASE WHEN lower(extension) IN ('.bmp','.dib','.gif','.jfif','.jpeg','.jpg','.jpe','.png','.tif','.tiff','.webp') THEN 'image' WHEN lower(extension) IN ('.aif','.aiff','.flac','.m4a','.mp3','.oga','.ogg','.wav','.wave') THEN 'audio' "
+    "WHEN lower(extension) IN ('.pdf','.htm','.html','.md','.docx','.pptx') THEN 'text' END AS kind, count(*) AS n FROM files GROUP BY ALL",
+)
+def file_types(spark, d):
+    return table(spark, d, "files").groupBy(I.file_type_of(F.col("extension")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "matching_keys",
+    "SELECT file_name, lower(list_last(string_split(replace(trim(file_name), '\\', '/'), '/'))) AS name_key, regexp_replace(lower(file_name), '[^\\p{L}\\p{N}]', '', 'g') AS identity FROM (SELECT DISTINCT file_name FROM files)",
+)
+def matching_keys(spark, d):
+    names = table(spark, d, "files").select("file_name").distinct()
+    return names.select("file_name", I.file_name_key(F.col("file_name")).alias("name_key"), I.identity_key(F.col("file_name")).alias("identity"))
+
+
+@query("content_hashes", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+def content_hashes(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+
+
+@query(
+    "text_previews",
+    "SELECT doc_id, CASE WHEN length(t) > 280 THEN rtrim(substr(t, 1, 279)) || '…' ELSE t END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)",
+)
+def text_previews(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@query(
+    "segment_labels",
+    "SELECT vec_id, CASE WHEN floor(start_seconds / 3600) > 0 THEN printf('%d:%02d:%05.2f', CAST(floor(start_seconds / 3600) AS BIGINT), CAST(floor((start_seconds % 3600) / 60) AS BIGINT), start_seconds % 60) "
+    "ELSE printf('%d:%05.2f', CAST(floor(start_seconds / 60) AS BIGINT), start_seconds % 60) END AS label FROM prepared_segments WHERE start_seconds IS NOT NULL",
+)
+def segment_labels(spark, d):
+    return table(spark, d, "prepared_segments").filter("start_seconds is not null").select("vec_id", X.timestamp_text(F.col("start_seconds")).alias("label"))
+
+
+# ---- predicates -------------------------------------------------------------------------------
+
+
+@query("filter_all_of", "SELECT id, run_id, size_bytes FROM files WHERE file_type = 'text' AND size_bytes >= 100000 AND contains(lower(file_name), 'ta')")
+def filter_all_of(spark, d):
+    files = table(spark, d, "files").withColumn("file_name_search", F.lower("file_name"))
+    rule = Predicate(all_of=(Condition("file_type", "equal", "text"), Condition("size_bytes", "gte", 100000), Condition("file_name_search", "text_contains", "ta")))
+    return apply_predicate(files, rule).select("id", "run_id", "size_bytes")
+
+
+@query("filter_none_of", "SELECT id, run_id FROM files WHERE mime_type IS NULL OR mime_type NOT IN ('text/html', 'application/pdf')")
+def filter_none_of(spark, d):
+    """A missing field passes none_of."""
+    return apply_predicate(table(spark, d, "files"), Predicate(none_of=(Condition("mime_type", "in", ["text/html", "application/pdf"]),))).select("id", "run_id")
+
+
+@query("filter_any_of", "SELECT chunk_id FROM chunks WHERE (page_number > 3 OR slide_number <= 2 OR list_contains(section_path, 'x')) AND chunk_index < 4")
+def filter_any_of(spark, d):
+    rule = Predicate(all_of=(Condition("chunk_index", "lt", 4),), any_of=(Condition("page_number", "gt", 3), Condition("slide_number", "lte", 2), Condition("section_path", "contains", "x")))
+    return apply_predicate(table(spark, d, "chunks"), rule).select("chunk_id")
+
+
+@query("filter_dates", "SELECT id, run_id FROM files WHERE modified_at >= TIMESTAMP '2024-06-01 00:00:00' AND modified_at < TIMESTAMP '2025-01-01 00:00:00'")
+def filter_dates(spark, d):
+    import datetime as dt
+
+    rule = Predicate(all_of=(Condition("modified_at", "gte", dt.date(2024, 6, 1)), Condition("modified_at", "lt", dt.date(2025, 1, 1))))
+    return apply_predicate(table(spark, d, "files"), rule).select("id", "run_id")
+
+
+@query("count_by_filter", "SELECT count(*) AS n FROM files WHERE file_type = 'audio' AND segment_count >= 2")
+def count_by_filter(spark, d):
+    rule = Predicate(all_of=(Condition("file_type", "equal", "audio"), Condition("segment_count", "gte", 2)))
+    return apply_predicate(table(spark, d, "files"), rule).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scroll_page", "SELECT chunk_id, file_id FROM chunks WHERE chunk_id >= 40 AND slide_number IS NULL ORDER BY chunk_id LIMIT 51")
+def scroll_page(spark, d):
+    """One page of 50 in id order and the first row of the next: the page is the feature."""
+    return table(spark, d, "chunks").filter("chunk_id >= 40 and slide_number is null").orderBy("chunk_id").limit(51).select("chunk_id", "file_id")
+
+
+# ---- vector search ----------------------------------------------------------------------------
+
+
+def _first_vectors(spark, d, n: int) -> list[list[float]]:
+    rows = table(spark, d, "embeddings").filter(F.col("vec_id") < n).select("vec_id", "embedding").orderBy("vec_id").limit(n).collect()
+    return [list(r.embedding) for r in rows]
+
+
+_COS = "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 5)"
+
+
+def _search(metric: str) -> Query:
+    def run(spark, d):
+        rows = table(spark, d, "embeddings")
+        return S.top_k(rows, "embedding", _first_vectors(spark, d, 1)[0], 10, metric, keys=("vec_id",)).select("vec_id", "label", F.round("score", 5).alias("score"))
+
+    return run
+
+
+for _metric, _value, _order in (
+    ("cosine", _COS, "DESC"),
+    ("dot", "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5)", "DESC"),
+    ("euclid", "round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5)", "ASC"),
+    ("manhattan", "round(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda z: abs(z[1] - z[2]))), 5)", "ASC"),
+):
+    query(f"search_{_metric}", f"SELECT e.vec_id, e.label, {_value} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score {_order}, e.vec_id LIMIT 10")(_search(_metric))
+
+
+@query("search_filtered", f"SELECT e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 3, 5) ORDER BY score DESC, e.vec_id LIMIT 10")
+def search_filtered(spark, d):
+    rule = Predicate(all_of=(Condition("label", "in", [1, 3, 5]),))
+    found = S.top_k(table(spark, d, "embeddings"), "embedding", _first_vectors(spark, d, 1)[0], 10, predicate=rule, keys=("vec_id",))
+    return found.select("vec_id", "label", F.round("score", 5).alias("score"))
+
+
+@query("search_multi_vector", f"SELECT e.vec_id, max({_COS}) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id < 3) q GROUP BY e.vec_id ORDER BY score DESC, e.vec_id LIMIT 15")
+def search_multi_vector(spark, d):
+    found = S.multi_vector_top_k(table(spark, d, "embeddings"), "embedding", _first_vectors(spark, d, 3), 15, keys=("vec_id",))
+    return found.select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query(
+    "search_batch",
+    f"SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.label = 0 QUALIFY rank <= 5",
+)
+def search_batch(spark, d):
+    rows = table(spark, d, "embeddings")
+    asked = rows.filter("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return S.batch_top_k(rows, "vec_id", "embedding", asked, "query_id", "v", 5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query("vector_validity", "SELECT vector_name, coalesce(len(vectors) = 64 AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0, false) AS ok, count(*) AS n FROM prepared_segments GROUP BY ALL")
+def vector_validity(spark, d):
+    return table(spark, d, "prepared_segments").groupBy("vector_name", V.valid(F.col("vectors"), 64).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_FINITE = "score IS NOT NULL AND isfinite(score) AND file_id IS NOT NULL"
+
+
+def _finite_hits(spark, d) -> DataFrame:
+    score = F.col("score")
+    return table(spark, d, "hits").filter(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")) & F.col("file_id").isNotNull())
+
+
+@query(
+    "group_by_parent",
+    f"WITH h AS (SELECT file_id, segment_index, max(score) AS score FROM hits WHERE {_FINITE} AND query_id = 'q-00000001' AND segment_index IS NOT NULL GROUP BY ALL) "
+    "SELECT file_id, max(score) AS best_score, list(segment_index ORDER BY score DESC, segment_index) AS matches FROM h GROUP BY file_id ORDER BY best_score DESC, file_id LIMIT 20",
+)
+def group_by_parent(spark, d):
+    """Result groups of one query's hits; the limit of 20 groups is the feature."""
+    hits = _finite_hits(spark, d).filter("query_id = 'q-00000001' and segment_index is not null").groupBy("file_id", "segment_index").agg(F.max("score").alias("score"))
+    return S.group_by_parent(hits, "file_id", 20)
+
+
+_RANKED = f"r AS (SELECT query_id, file_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS INTEGER) AS rank FROM hits WHERE {_FINITE})"
+
+
+def _ranked(spark, d) -> DataFrame:
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id")
+    return _finite_hits(spark, d).select("query_id", "file_id", F.row_number().over(w).alias("rank"))
+
+
+@query("best_per_file", f"WITH {_RANKED}, f AS (SELECT query_id, file_id, min(rank) AS m FROM r GROUP BY ALL) SELECT query_id, file_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m, file_id) AS INTEGER) AS rank FROM f")
+def best_per_file(spark, d):
+    return S.best_per_file(_ranked(spark, d), "query_id", "file_id", "rank")
+
+
+# ---- catalogue --------------------------------------------------------------------------------
+
+_HASH = "regexp_replace(lower(trim(content_hash)), '^[a-z0-9_-]+[:=]\\s*', '')"
+_NEWEST = f"newest AS (SELECT file_id AS id, {_HASH} AS h FROM scans QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY seen_at DESC NULLS LAST, scan_id DESC NULLS LAST) = 1)"
+_STORED = f"stored AS (SELECT id, {_HASH} AS h, file_type FROM files QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, run_id DESC NULLS LAST, content_hash DESC) = 1)"
+_CHANGE = "CASE WHEN n.h IS NULL THEN 'failed' WHEN s.id IS NULL THEN 'new' WHEN s.h = n.h THEN 'unchanged' ELSE 'updated' END"
+
+
+def _changes(spark, d) -> DataFrame:
+    seen = C.latest(table(spark, d, "scans").filter("file_id is not null"), "file_id", ["seen_at", "scan_id"]).select(F.col("file_id").alias("id"), bare_hash(F.col("content_hash")).alias("content_hash"))
+    stored = C.latest(table(spark, d, "files"), "id", ["indexed_at", "run_id", "content_hash"]).select("id", bare_hash(F.col("content_hash")).alias("content_hash"), "file_type")
+    classified = C.classify_changes(seen, stored.drop("file_type"), key="id")
+    return classified.join(stored.select("id", "file_type"), "id", "left")
+
+
+@query("change_classes", f"WITH {_NEWEST}, {_STORED} SELECT n.id, n.h AS content_hash, {_CHANGE} AS change FROM newest n LEFT JOIN stored s ON s.id = n.id")
+def change_classes(spark, d):
+    return _changes(spark, d).select("id", "content_hash", "change")
+
+
+@query(
+    "change_counters",
+    f"WITH {_NEWEST}, {_STORED}, c AS (SELECT coalesce(s.file_type, 'unknown') AS file_type, {_CHANGE} AS change FROM newest n LEFT JOIN stored s ON s.id = n.id) "
+    "SELECT file_type, count(*) AS total, count(*) FILTER (change = 'new') AS new_files, count(*) FILTER (change = 'updated') AS updated_files, count(*) FILTER (change = 'unchanged') AS unchanged_files, count(*) FILTER (change IN ('new', 'updated')) AS work FROM c GROUP BY ALL",
+)
+def change_counters(spark, d):
+    return C.change_counters(_changes(spark, d).withColumn("file_type", F.coalesce("file_type", F.lit("unknown"))))
+
+
+@query("duplicate_groups", f"WITH f AS (SELECT DISTINCT {_HASH} AS content_hash, path_key FROM files WHERE content_hash IS NOT NULL) SELECT content_hash, count(*) AS copies, list(path_key ORDER BY path_key) AS members FROM f GROUP BY ALL HAVING count(*) > 1")
+def duplicate_groups(spark, d):
+    return C.duplicate_groups(table(spark, d, "files").withColumn("content_hash", bare_hash(F.col("content_hash"))))
+
+
+@query("document_copies", "WITH t AS (SELECT sha256(text) AS content_hash, doc_id FROM documents WHERE text IS NOT NULL AND text <> '') SELECT content_hash, count(*) AS copies, min(doc_id) AS first_id FROM t GROUP BY ALL HAVING count(*) > 1")
+def document_copies(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null and text <> ''").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "doc_id")
+    return docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
+
+
+@query("hash_lookup", f"WITH k AS (SELECT min({_HASH}) AS h FROM files) SELECT id, run_id FROM files, k WHERE {_HASH} = k.h")
+def hash_lookup(spark, d):
+    files = table(spark, d, "files").withColumn("h", bare_hash(F.col("content_hash")))
+    return files.join(F.broadcast(files.agg(F.min("h").alias("h"))), "h", "left_semi").select("id", "run_id")
+
+
+@query("point_lookup", f"WITH {_STORED}, w AS (SELECT file_id AS id, min(meta_id) AS position FROM document_meta GROUP BY ALL) SELECT w.id, w.position, s.h AS content_hash FROM w LEFT JOIN stored s ON s.id = w.id")
+def point_lookup(spark, d):
+    """Wanted ids in their order; a missing one keeps its place."""
+    stored = C.latest(table(spark, d, "files"), "id", ["indexed_at", "run_id", "content_hash"]).select("id", bare_hash(F.col("content_hash")).alias("content_hash"))
+    wanted = table(spark, d, "document_meta").groupBy(F.col("file_id").alias("id")).agg(F.min("meta_id").alias("position"))
+    return C.lookup(stored, wanted)
+
+
+@query(
+    "cascade_delete",
+    "WITH doomed AS (SELECT DISTINCT id FROM files f JOIN index_runs r ON r.run_id = f.run_id WHERE r.run_status = 'failed'), c AS (SELECT 'child' AS kind, vec_id AS n FROM prepared_segments WHERE file_id NOT IN (SELECT id FROM doomed)), "
+    "p AS (SELECT 'parent' AS kind, vec_id AS n FROM prepared_files WHERE file_id NOT IN (SELECT id FROM doomed)) SELECT kind, count(*) AS rows_left, sum(n) AS checksum FROM (SELECT * FROM c UNION ALL SELECT * FROM p) GROUP BY kind",
+)
+def cascade_delete(spark, d):
+    failed = table(spark, d, "index_runs").filter("run_status = 'failed'").select("run_id")
+    doomed = table(spark, d, "files").join(failed, "run_id", "left_semi").select("id").distinct()
+    parents, children = C.cascade_delete(table(spark, d, "prepared_files").withColumnRenamed("file_id", "id"), table(spark, d, "prepared_segments"), doomed, parent="file_id")
+    rows = parents.select(F.lit("parent").alias("kind"), "vec_id").unionByName(children.select(F.lit("child").alias("kind"), "vec_id"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("rows_left"), F.sum("vec_id").alias("checksum"))
+
+
+@query(
+    "upsert_replace",
+    "WITH src AS (SELECT id, content_hash, run_id FROM files WHERE run_id > 30 QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC, content_hash DESC) = 1), tgt AS (SELECT id, content_hash, run_id FROM files WHERE run_id <= 30 QUALIFY row_number() OVER (PARTITION BY id ORDER BY run_id DESC, content_hash DESC) = 1) "
+    "SELECT * FROM src UNION ALL SELECT * FROM tgt WHERE id NOT IN (SELECT id FROM src)",
+)
+def upsert_replace(spark, d):
+    """Entries of later runs replace those of earlier ones, whole rows."""
+    rows = table(spark, d, "files").select("id", "content_hash", "run_id")
+    old, new = (C.latest(rows.filter(c), "id", ["run_id", "content_hash"]) for c in ("run_id <= 30", "run_id > 30"))
+    return C.replace_rows(old, new, "id", "run_id")
+
+
+@query(
+    "audio_ranges",
+    "WITH d AS (SELECT file_id, max(end_seconds) AS dur FROM prepared_segments WHERE end_seconds IS NOT NULL GROUP BY ALL), s AS (SELECT file_id, dur, unnest(range(0, CAST(greatest(0, ceil((dur - 10.0) / 5.0)) AS BIGINT) + 1)) AS i FROM d WHERE dur > 0) "
+    "SELECT file_id, CAST(i AS INTEGER) AS segment_index, i * 5.0::DOUBLE AS start_seconds, least(i * 5.0::DOUBLE + 10.0, dur) AS end_seconds FROM s",
+)
+def audio_ranges(spark, d):
+    files = table(spark, d, "prepared_segments").filter("end_seconds is not null").groupBy("file_id").agg(F.max("end_seconds").alias("dur"))
+    return C.audio_ranges(files, "dur", 10.0).select("file_id", "segment_index", "start_seconds", "end_seconds")
+
+
+# ---- evaluation and profiles ------------------------------------------------------------------
+
+_REL = "q AS (SELECT query_id, min(file_id) AS file_id FROM r GROUP BY ALL)"
+
+
+@query(
+    "metrics_single",
+    f"WITH {_RANKED}, {_REL}, x AS (SELECT q.query_id, min(r.rank) AS rank FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.file_id = q.file_id GROUP BY ALL), k AS (SELECT unnest([1, 5, 10]) AS k) "
+    "SELECT CAST(k AS INTEGER) AS k, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= k THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END), 6) AS ndcg FROM x, k GROUP BY k",
+)
+def metrics_single(spark, d):
+    ranked = _ranked(spark, d)
+    relevant = ranked.groupBy("query_id").agg(F.min("file_id").alias("file_id"))
+    out = M.single_relevant(S.relevant_rank(ranked, relevant, "query_id", "file_id", "rank"), "relevant_rank", [1, 5, 10])
+    return out.select("k", *[F.round(m, 6).alias(m) for m in ("recall", "mrr", "ndcg")])
+
+
+def _outcomes(spark, d) -> DataFrame:
+    """Files whose id begins with a small hexadecimal digit count as relevant; the query's last digit is its type."""
+    ranked = S.best_per_file(_ranked(spark, d), "query_id", "file_id", "rank")
+    hits = ranked.filter(F.substring("file_id", 1, 1).isin("0", "1", "2", "3"))
+    return hits.groupBy("query_id").agg(F.collect_list(F.when(F.col("rank") <= 10, F.col("rank"))).alias("ranks"), F.count(F.lit(1)).alias("relevant")).withColumn("kind", F.right("query_id", F.lit(1)))
+
+
+_SCORES = f"""{_RANKED}, f AS (SELECT query_id, file_id, min(rank) AS m FROM r GROUP BY ALL),
+b AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY m, file_id) AS rank FROM f),
+o AS (SELECT query_id, right(query_id, 1) AS kind, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS pos, count(*) OVER (PARTITION BY query_id) AS rel FROM b WHERE substr(file_id, 1, 1) IN ('0', '1', '2', '3')),
+k AS (SELECT unnest([1, 5, 10]) AS k),
+ideal AS (SELECT n, (SELECT sum(1.0::DOUBLE / log2(i + 1)) FROM range(1, n + 1) t(i)) AS g FROM range(1, 11) u(n)),
+per AS (SELECT query_id, kind, CAST(k AS INTEGER) AS k, max(rel) AS rel, least(max(rel), k) AS bound, count(*) FILTER (rank <= k) AS n, min(rank) FILTER (rank <= k) AS best,
+        coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (rank <= k), 0) AS dcg, coalesce(sum(pos::DOUBLE / rank) FILTER (rank <= k), 0) AS prec FROM o, k GROUP BY query_id, kind, k),
+scored AS (SELECT per.query_id, per.kind, per.k, CASE WHEN per.n > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, coalesce(1.0::DOUBLE / best, 0) AS mrr, per.n::DOUBLE / rel AS recall, dcg / g AS ndcg, prec / bound AS map, CASE WHEN per.n = rel THEN 1.0::DOUBLE ELSE 0 END AS complete
+           FROM per JOIN ideal ON ideal.n = per.bound)"""
+_AVG = ", ".join(f"round(avg({m}), 6) AS {m}" for m in M.METRICS)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if c in M.METRICS else F.col(c) for c in df.columns])
+
+
+@query("metrics_by_type", f"WITH {_SCORES} SELECT kind, k, count(*) AS queries, {_AVG} FROM scored GROUP BY kind, k")
+def metrics_by_type(spark, d):
+    return _rounded(M.averaged(M.per_query(_outcomes(spark, d), "query_id", "ranks", "relevant", [1, 5, 10], ["kind"]), ["kind"]))
+
+
+@query("metrics_macro", f"WITH {_SCORES}, t AS (SELECT kind, k, {', '.join(f'avg({m}) AS {m}' for m in M.METRICS)} FROM scored WHERE kind IN ('1', '2', '3') GROUP BY kind, k) SELECT k, count(*) AS types, {_AVG} FROM t GROUP BY k")
+def metrics_macro(spark, d):
+    return _rounded(M.macro(M.per_query(_outcomes(spark, d), "query_id", "ranks", "relevant", [1, 5, 10], ["kind"]), "kind", ["1", "2", "3"]))
+
+
+@query(
+    "annotation_coverage",
+    "WITH n AS (SELECT lower(file_name) AS key, count(DISTINCT id) AS n, min(id) AS id FROM files GROUP BY ALL), w AS (SELECT doc_id, lower(file_name) AS key FROM documents) "
+    "SELECT doc_id, CASE WHEN n.n IS NULL THEN 'missing' WHEN n.n > 1 THEN 'ambiguous' ELSE 'eligible' END AS coverage, CASE WHEN n.n = 1 THEN n.id END AS file_id FROM w LEFT JOIN n ON n.key = w.key",
+)
+def annotation_coverage(spark, d):
+    files = table(spark, d, "files").select("id", I.file_name_key(F.col("file_name")).alias("key")).distinct()
+    wanted = table(spark, d, "documents").select("doc_id", I.file_name_key(F.col("file_name")).alias("key"))
+    return C.annotation_coverage(wanted, files, "key").select("doc_id", "coverage", "file_id")
+
+
+@query(
+    "variant_coverage",
+    "WITH v AS (SELECT DISTINCT regexp_replace(lower(regexp_replace(file_name, '\\.[^.]+$', '')), '[^\\p{L}\\p{N}]', '', 'g') AS key, format_key AS fmt, path_key AS logical_id FROM files WHERE file_type = 'text'), "
+    "f AS (SELECT key, fmt, count(*) AS n, min(logical_id) AS lo, max(logical_id) AS hi FROM v GROUP BY ALL), g AS (SELECT key, max(n) AS most, min(lo) AS lo, max(hi) AS hi, list(DISTINCT fmt) AS fmts FROM f GROUP BY ALL), "
+    "w AS (SELECT DISTINCT h.query_id, v.key FROM hits h JOIN (SELECT DISTINCT id, regexp_replace(lower(regexp_replace(file_name, '\\.[^.]+$', '')), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM files WHERE file_type = 'text') v ON v.id = h.file_id), "
+    "j AS (SELECT w.query_id, coalesce(g.most = 1 AND g.lo = g.hi, false) AS good, len(list_filter(['docx', 'html', 'md', 'pdf', 'pptx'], lambda x: NOT list_contains(g.fmts, x))) AS lacking FROM w LEFT JOIN g ON g.key = w.key) "
+    "SELECT query_id, count(*) AS relevant, count(*) FILTER (good) AS covered, CAST(sum(CASE WHEN good THEN lacking ELSE 0 END) AS BIGINT) AS missing_formats, CASE WHEN count(*) FILTER (good) = 0 THEN 'skipped' WHEN bool_and(good) THEN 'fully' ELSE 'partially' END AS state FROM j GROUP BY query_id",
+)
+def variant_coverage(spark, d):
+    stem = I.identity_key(F.regexp_replace("file_name", r"\.[^.]+$", ""))
+    text = table(spark, d, "files").filter("file_type = 'text'").withColumn("key", stem)
+    variants = text.select("key", F.col("format_key").alias("fmt"), F.col("path_key").alias("logical_id")).distinct()
+    wanted = table(spark, d, "hits").select("query_id", F.col("file_id").alias("id")).distinct().join(text.select("id", "key").distinct(), "id").select("query_id", "key").distinct()
+    return C.variant_coverage(wanted, variants, "query_id", "key", ["docx", "html", "md", "pdf", "pptx"])
+
+
+@query("latency", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def latency(spark, d):
+    return M.latency(table(spark, d, "events"), "value", ["event_type"]).select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p95", "p99")])
+
+
+@query("benchmark_summary", "SELECT event_type, round(min(value), 6) AS low, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS high FROM events GROUP BY ALL")
+def benchmark_summary(spark, d):
+    return M.benchmark_summary(table(spark, d, "events"), "value", ["event_type"]).select("event_type", *[F.round(c, 6).alias(c) for c in ("low", "mean", "median", "p95", "high")])
+
+
+@query(
+    "stage_profile",
+    "WITH s AS (SELECT event_type, count(*) AS calls, sum(user_id) AS items, sum(value) AS total, median(value) AS median, quantile_cont(value, 0.95) AS p95, max(value) AS longest, count(*) FILTER (value > 90) AS errors FROM events GROUP BY ALL) "
+    "SELECT event_type, calls, CAST(items AS BIGINT) AS items, round(total, 4) AS total, round(median, 6) AS median, round(p95, 6) AS p95, round(longest, 6) AS longest, errors, round(total / (SELECT max(total) FROM s), 6) AS share, round(items / total, 6) AS rate FROM s",
+)
+def stage_profile(spark, d):
+    out = M.stage_profile(table(spark, d, "events"), "event_type", "value", "user_id", F.col("value") > 90)
+    return out.select("event_type", "calls", "items", F.round("total", 4).alias("total"), *[F.round(c, 6).alias(c) for c in ("median", "p95", "longest")], "errors", *[F.round(c, 6).alias(c) for c in ("share", "rate")])
+
+
+@query(
+    "resource_summary",
+    "SELECT event_type, round(avg(value), 6) AS average, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS peak, round(arg_max(value, event_id) - arg_min(value, event_id), 6) AS change, round(avg(CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS active FROM events GROUP BY ALL",
+)
+def resource_summary(spark, d):
+    out = M.resource_summary(table(spark, d, "events"), "event_id", "value", ["event_type"])
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("average", "p95", "peak", "change", "active")])
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p7_found": p7_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return dict(SQL)
