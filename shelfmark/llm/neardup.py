@@ -128,9 +128,10 @@ def similar_classes(texts: DataFrame, width: int, threshold: float, bands: int,
     signed = materialise(texts.select("class", "text").mapInArrow(sign, "class bigint, bands array<bigint>, packed binary"), "signatures")
 
     # Buckets: only keys that two classes share go on; a hot bucket is cut into tiles of bounded size.
+    # One exchange of the keys: counting, dropping lone keys and forming cells all use the partitioning by bucket.
     posts = signed.select("class", F.explode("bands").alias("bucket"))
-    sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = posts.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)))
+    sized = posts.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).filter("n > 1")
+    shared = materialise(sized.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile))), "shared-buckets")
     shared = shared.withColumn("tile", F.pmod(F.xxhash64("class", F.lit(11)), F.col("tiles")))
     cells = shared.filter("tiles = 1").groupBy("bucket").agg(F.sort_array(F.collect_list("class")).alias("members"))
     small = cells.select(F.explode(_pairs_in("members")).alias("p")).select("p.class_a", "p.class_b")
@@ -203,12 +204,12 @@ def near_duplicates(records: DataFrame, key: str, text: str, group: str, width:
       merging them; another ``seed`` parts them.
     """
     base = records.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(group).alias("grp")).filter("key is not null and grp is not null and text is not null and text <> ''")
-    base = materialise(base.distinct().withColumn("class", F.xxhash64(F.lit(seed), "text")), "records")
-    same = F.when(F.min("text") == F.max("text"), F.min("text")).otherwise(F.raise_error(F.lit("two texts share a class; choose another seed")))
-    texts = base.groupBy("class").agg(same.alias("text"))
-    links = similar_classes(texts, width, threshold, bands, rows, bits)
-    links = links.select("class_a", "class_b", "similarity")
-    return expand(base.select("key", "grp", "class"), links)
+    base = materialise(base.withColumn("class", F.xxhash64(F.lit(seed), "text")).withColumn("proof", F.xxhash64(F.lit(seed + 1), "text")), "records")
+    # The text crosses one exchange, members travel without it. A second hash proves that a class holds one text.
+    same = F.when(F.min("proof") == F.max("proof"), F.min("text")).otherwise(F.raise_error(F.lit("two texts share a class; choose another seed")))
+    texts = materialise(base.groupBy("class").agg(same.alias("text")), "class-texts")
+    links = materialise(similar_classes(texts, width, threshold, bands, rows, bits), "links")
+    return expand(materialise(base.select("key", "grp", "class").distinct(), "members"), links)
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
