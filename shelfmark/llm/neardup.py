@@ -13,7 +13,6 @@ driver ever holds a whole bucket, and no pair is dropped.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +29,14 @@ TILE = 512
 #: Classes of copies with at most this many members to both sides are written out in full, larger ones as stars.
 FULL_PAIRS = 10_000
 
-SPACE = re.compile(r"\s+")
+#: White space other than the plain space (fixed values of Unicode).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normal_text(column: Column) -> Column:
     """Each run of white space, no-break spaces included, as one space; trimmed; letter case kept."""
-    white = "[\\s\\x0B\\x1C-\\x1F\\x85\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
-    return F.trim(F.regexp_replace(column, white, " "))
+    spaced = F.translate(column, WHITE, " " * len(WHITE))
+    return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
 class Signer:
