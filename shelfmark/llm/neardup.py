@@ -65,13 +65,18 @@ class Signer:
     def minima(self, text: str) -> np.ndarray:
         base = self.shingles(text).astype(np.uint32)
         low = np.full(len(self.a), 2**32 - 1, dtype=np.uint32)
-        # Blocks of shingles: memory stays flat for texts of any length.
+        # Blocks of shingles: memory stays flat for texts of any length. The shingle hashes are mixed already, so a
+        # multiplication and an addition permute them; the minima alone are mixed again, for their low bits.
+        room = np.empty((len(self.a), min(512, len(base))), dtype=np.uint32)
         for at in range(0, len(base), 512):
             block = base[at : at + 512]
-            h = self.a[:, None] * block[None, :] + self.b[:, None]
-            h ^= h >> np.uint32(15)
-            h *= np.uint32(0x2C1B3C6D)
+            h = room[:, : len(block)]
+            np.multiply(self.a[:, None], block[None, :], out=h)
+            h += self.b[:, None]
             np.minimum(low, h.min(axis=1), out=low)
+        low ^= low >> np.uint32(16)
+        low *= np.uint32(0x85EBCA6B)
+        low ^= low >> np.uint32(13)
         return low
 
     def bands_of(self, minima: np.ndarray) -> np.ndarray:
