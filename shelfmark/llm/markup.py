@@ -205,28 +205,32 @@ def _path(node: Node) -> list[str]:
 
 def node_text(node: Node, threshold: float = 0.0) -> str:
     """Text of a subtree: table rows as lines of cells between bars, list items and blocks on lines of their own."""
+    verbatim = ("pre", "syntaxhighlight", "source", "textarea")
     parts: list[str] = []
-
-    def walk(n: Node, literal: bool) -> None:
+    # (what to write, or node to open, whether white space counts); an explicit stack, as markup nests without bound.
+    stack: list[tuple[str | Node, bool, bool]] = [(node, any(t in verbatim for t in _path(node)), False)]
+    while stack:
+        item, literal, ready = stack.pop()
+        if isinstance(item, str):
+            parts.append(item if literal or ready else re.sub(r"\s+", " ", item))
+            continue
+        todo: list[tuple[str | Node, bool, bool]] = []
         cell = False
-        for child in n.children:
+        for child in item.children:
             if isinstance(child, str):
-                parts.append(child if literal else re.sub(r"\s+", " ", child))
+                todo.append((child, literal, False))
                 continue
             if child.tag in DROPPED or (child.chars and child.density < threshold and child.tag in ("nav", "footer", "aside", "form", "menu")):
                 continue
             if child.tag in ("br", "hr"):
-                parts.append("\n")
+                todo.append(("\n", literal, True))
                 continue
             if child.tag in ("td", "th"):
-                parts.append(" | " if cell else "")
+                todo.append((" | " if cell else "", literal, True))
                 cell = True
-            block = child.tag in ROLE_OF_ELEMENT and child.tag not in ("td", "th", "math")
-            parts.append("\n" if block else "")
-            walk(child, literal or child.tag in ("pre", "syntaxhighlight", "source", "textarea"))
-            parts.append("\n" if block else "")
-
-    walk(node, any(t in ("pre", "syntaxhighlight", "source", "textarea") for t in _path(node)))
+            edge = ("\n" if child.tag in ROLE_OF_ELEMENT and child.tag not in ("td", "th", "math") else "", literal, True)
+            todo += [edge, (child, literal or child.tag in verbatim, False), edge]
+        stack += reversed(todo)
     lines = [x.rstrip() for x in "".join(parts).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n ")
 
