@@ -110,7 +110,8 @@ def _pushable(condition: Condition, schema: T.StructType) -> Column:
     if condition.operator == "text_contains":
         return column.contains(value)
     if isinstance(kind, T.NumericType) and condition.operator in ("gt", "gte", "lt", "lte") and not isinstance(value, dt.date):
-        right = F.lit(float(value))
+        # A whole number stays one: a cast of the column would keep the comparison from the scan.
+        right = F.lit(value) if isinstance(kind, T.IntegralType) and isinstance(value, int) else F.lit(float(value))
         return {"gt": column > right, "gte": column >= right, "lt": column < right, "lte": column <= right}[condition.operator]
     return full
 

@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from shelfmark.functions import identity as I
 from shelfmark.functions import text as X
 from shelfmark.functions import vectors as V
+from shelfmark.functions.embedding import HashingModel, embed
 from shelfmark.operators import catalog as C
 from shelfmark.operators import metrics as M
 from shelfmark.operators import search as S
+from shelfmark.operators.chunking import chunk_blocks
 from shelfmark.operators.filters import Condition, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker, bare_hash
 from shelfmark.operators.timestamps import normalise_timestamps
 from shelfmark.session import scratch_path
+from shelfmark.sources.files import parse_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -364,6 +367,29 @@ def audio_ranges(spark, d):
     return C.audio_ranges(files, "dur", 10.0).select("file_id", "segment_index", "start_seconds", "end_seconds")
 
 
+# ---- documents --------------------------------------------------------------------------------
+
+
+@query("document_chunks")
+def document_chunks(spark, d):
+    """Structure-aware chunks of all parsed blocks (a sequential fold, not SQL)."""
+    return chunk_blocks(table(spark, d, "blocks"), "file_id").drop("embedding_text")
+
+
+@query("parse_documents_html")
+def parse_documents_html(spark, d):
+    """Blocks of all documents, read as HTML from a binary column; hard line wraps and markup of any kind must not fail."""
+    docs = table(spark, d, "documents").filter("text is not null").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".html")).alias("path"), F.col("text").cast("binary").alias("content"))
+    parsed = parse_documents(docs, "path", "content")
+    return parsed.select("path", "title", F.size("blocks").alias("blocks"), "error")
+
+
+@query("text_embeddings")
+def text_embeddings(spark, d):
+    """Vectors of all chunks by the default model."""
+    return table(spark, d, "chunks").select("chunk_id", embed(F.col("text"), HashingModel(64)).alias("vector"))
+
+
 # ---- evaluation and profiles ------------------------------------------------------------------
 
 _REL = "q AS (SELECT query_id, min(file_id) AS file_id FROM r GROUP BY ALL)"
