@@ -19,6 +19,8 @@ from shelfmark.operators.chunking import chunk_blocks
 from shelfmark.operators.filters import Condition, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker, bare_hash
 from shelfmark.operators.timestamps import normalise_timestamps
+from shelfmark.operators.store import Store, VectorConfig
+from shelfmark.plans.query_language import parse_query
 from shelfmark.session import scratch_path
 from shelfmark.sources.files import parse_documents
 
@@ -367,6 +369,29 @@ def audio_ranges(spark, d):
     return C.audio_ranges(files, "dur", 10.0).select("file_id", "segment_index", "start_seconds", "end_seconds")
 
 
+@query(
+    "store_writes",
+    "WITH e AS (SELECT vec_id, label FROM embeddings), kept AS (SELECT CASE WHEN vec_id % 3 = 0 THEN 100 + label ELSE label END AS label FROM e) SELECT label, count(*) AS n FROM kept WHERE label <> 2 GROUP BY label",
+)
+def store_writes(spark, d):
+    """A collection created, filled, partly replaced and partly deleted by filter, then counted."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("number"), "label", F.col("embedding").alias("vec_v"))
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create("c", rows.select("number", "label").schema, [VectorConfig("v", 64)])
+    store.upsert("c", rows)
+    store.upsert("c", rows.filter("number % 3 = 0").withColumn("label", F.col("label") + 100))
+    store.delete_by_filter("c", Predicate(all_of=(Condition("label", "equal", 2),)))
+    return store.read("c").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("query_language", "SELECT id, run_id FROM files WHERE contains(lower(file_name), 'ta') AND format_key = 'pdf' AND modified_at >= TIMESTAMP '2024-01-01' AND modified_at < TIMESTAMP '2025-06-01'")
+def query_language(spark, d):
+    """Filters of the compact query language on the catalogue."""
+    parsed = parse_query("any text name:TA format:.PDF after:2024-01-01T00:00:00+00:00 before:2025-06-01T00:00:00+00:00")
+    files = table(spark, d, "files").withColumn("file_name_search", F.lower("file_name"))
+    return apply_predicate(files, parsed.metadata.predicate()).select("id", "run_id")
+
+
 # ---- documents --------------------------------------------------------------------------------
 
 
