@@ -1,13 +1,12 @@
 """The most similar vectors of every vector, through a permutation index.
 
-A bounded sample of the vectors serves as pivots. Every vector is represented by its nearest pivots in
-order, and is posted, with the rank it gives them, in the inverted file of each of them. Inside an
-inverted file candidates are ranked by the footrule distance of their pivot orders, the best are reranked by their
-quantised vectors, and the survivors of all files by their full vectors in double precision.
-
-Every vector is indexed. Equal vectors share one posting. A file that grows beyond ``list_rows`` is split by
-the second pivot its members name, and what is still too large into tiles whose pairs are separate groups:
-no group is unbounded and no vector is dropped.
+A bounded sample of the vectors serves as pivots. Every vector is posted in the inverted file of each of its nearest
+pivots. Inside an inverted file every member is compared with every other by their quantised vectors (pivot orders are
+nearly alike in a dense cluster, so that a ranking by their footrule distance can't choose there), and the best of all
+files are ranked by their full vectors in double precision.
+
+Every vector is indexed. Equal vectors share one posting. A file that grows beyond ``list_rows`` is cut into tiles
+whose pairs are separate groups: no group is unbounded, no vector is dropped, and no pair of a file goes uncompared.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from shelfmark.session import materialise
 
 #: Vectors per pivot, and the bounds of the number of pivots (4,096 pivots of 64 floats are 1 MB).
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 64, 4096
-#: Rows of one inverted file, and of one tile where splitting by a second pivot isn't enough.
+#: Rows of one inverted file, and of one tile of a longer one.
 LIST_ROWS, TILE_ROWS = 4000, 2000
 #: Tables of long lists up to this many rows are broadcast (about 40 bytes each).
 BROADCAST_LISTS = 100_000
@@ -50,56 +49,33 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _footrule_similarity(orders: np.ndarray, others: np.ndarray, pivots: int) -> np.ndarray:
-    """Constant minus half the footrule distance of truncated pivot orders, rows against rows.
-
-    With weight w = length - rank (0 where a pivot is missing) the distance is sum |w - w'| = sum w + sum w' - 2 sum min(w, w').
-    """
-    length = orders.shape[1]
-    weight = np.arange(length, 0, -1, dtype=np.uint8)
-    posted = np.zeros((pivots, len(others)), dtype=np.uint8)
-    for k in range(length):
-        posted[others[:, k], np.arange(len(others))] = weight[k]
-    total = np.zeros((len(orders), len(others)), dtype=np.uint8 if length <= 21 else np.uint16)
-    for k in range(length):
-        total += np.minimum(posted[orders[:, k]], weight[k])
-    return total
-
-
-def _compare_list(group: pd.DataFrame, length: int, dims: int, keep: int, rerank: int, least: float) -> pd.DataFrame:
-    """Best pairs (a, b, approx) of one inverted file or tile pair."""
+def _compare_list(group: pd.DataFrame, keep: int, least: float) -> pd.DataFrame:
+    """Best pairs (a, b, approx) of one inverted file or tile pair; every query meets every row."""
     queries, data = group[group["as_query"]], group[group["as_data"]]
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "approx": np.zeros(0)})
     if not len(queries) or len(data) < 1:
         return empty
 
-    def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), -1)
-        orders = np.ascontiguousarray(raw[:, : 2 * length]).view(np.uint16).astype(np.int64)
-        vectors = raw[:, 2 * length :].view(np.int8).astype(np.float32)
-        return part["class"].to_numpy(), orders, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-
-    qid, q_order, q_vec = unpack(queries)
-    did, d_order, d_vec = unpack(data)
-    # Pivot numbers of this list only.
-    used, packed = np.unique(np.concatenate([q_order.ravel(), d_order.ravel()]), return_inverse=True)
-    q_order, d_order = packed[: q_order.size].reshape(q_order.shape), packed[q_order.size :].reshape(d_order.shape)
+    def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        vectors = np.frombuffer(b"".join(part["code"]), np.int16).reshape(len(part), -1).astype(np.float32)
+        return part["class"].to_numpy(), vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+    qid, q_vec = unpack(queries)
+    did, d_vec = unpack(data)
     out_a, out_b, out_s = [], [], []
     for at in range(0, len(qid), 256):
         block = slice(at, at + 256)
-        likeness = _footrule_similarity(q_order[block], d_order, len(used))
-        if len(did) > rerank:
-            best = np.argpartition(likeness, len(did) - rerank, axis=1)[:, -rerank:]
-        else:
-            best = np.broadcast_to(np.arange(len(did)), (likeness.shape[0], len(did)))
-        score = np.einsum("qd,qrd->qr", q_vec[block], d_vec[best])
-        score[did[best] == qid[block][:, None]] = -9.0
-        if score.shape[1] > keep:
-            top = np.argpartition(score, score.shape[1] - keep, axis=1)[:, -keep:]
-            best, score = np.take_along_axis(best, top, 1), np.take_along_axis(score, top, 1)
-        row, col = np.nonzero(score >= least)
+        score = q_vec[block] @ d_vec.T
+        score[qid[block][:, None] == did[None, :]] = -9.0
+        fit = score >= least
+        crowded = np.nonzero(fit.sum(axis=1) > keep)[0]
+        if len(crowded):
+            top = np.argpartition(score[crowded], score.shape[1] - keep, axis=1)[:, -keep:]
+            fit[crowded] = False
+            fit[crowded[:, None], top] = True
+        row, col = np.nonzero(fit)
         out_a.append(qid[block][row])
-        out_b.append(did[best[row, col]])
+        out_b.append(did[col])
         out_s.append(score[row, col])
     return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "approx": np.concatenate(out_s).astype(np.float64)})
 
@@ -114,7 +90,7 @@ def similar_vectors(
     min_cosine: float | None = None,
     queries: Column | None = None,
     length: int = 10,
-    rerank: int = 48,
+    rerank: int | None = None,
     list_rows: int = LIST_ROWS,
     tile_rows: int = TILE_ROWS,
     per_pivot: int = PER_PIVOT,
@@ -124,7 +100,8 @@ def similar_vectors(
     * Unsound vectors (null, other than ``dims`` numbers, not finite, all zero), null keys and null spaces take no part.
     * Equal cosines (to nine decimals) go to the smaller key. Equal vectors are found exactly. A row repeated with its key counts once.
     * ``min_cosine`` drops less similar pairs early; ``queries`` is a condition on ``key`` for the vectors that ask (all by default).
-    * ``length``: pivots a vector is posted under; ``rerank``: candidates of one inverted file that are reranked.
+    * ``length``: pivots a vector is posted under.
+    * ``rerank`` is accepted for callers of old and has no effect: inverted files are compared whole.
     * Fewer vectors than ``k`` give fewer rows, an empty table none. Extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -152,12 +129,9 @@ def similar_vectors(
                 unit = _unit(_matrix(part.column(3), dims))
                 near = unit.astype(np.float32) @ table.T
                 best = np.argpartition(-near, length - 1, axis=1)[:, :length] if length < near.shape[1] else np.broadcast_to(np.arange(length), near.shape)
-                rank = np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable")
-                best = np.take_along_axis(best, rank, 1).astype(np.uint16)
-                codes = np.rint(unit * (127.0 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
-                packed = np.concatenate([best.view(np.uint8), codes.view(np.uint8)], axis=1)
+                codes = np.rint(unit * (32767.0 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int16)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * length), pa.array(best.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array([r.tobytes() for r in packed], pa.binary())], names=["class", "space", "asks", "near", "code"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array([r.tobytes() for r in codes], pa.binary())], names=["class", "space", "asks", "near", "code"])
 
     kind = "class bigint, space string, asks boolean, near array<int>, code binary"
     indexed = materialise(classes.select("class", F.col("space").cast("string").alias("space"), "asks", "v").mapInArrow(order, kind), "permutations")
@@ -165,8 +139,8 @@ def similar_vectors(
 
     keep = k + 5
     least = -2.0 if min_cosine is None else min_cosine - 0.02
-    compare = lambda group: _compare_list(group, length, dims, keep, rerank, least)
-    found = posts.groupBy("space", "p", "p2", "t", "u").applyInPandas(compare, "a bigint, b bigint, approx double")
+    compare = lambda group: _compare_list(group, keep, least)
+    found = posts.groupBy("space", "p", "t", "u").applyInPandas(compare, "a bigint, b bigint, approx double")
     merged = found.groupBy("a", "b").agg(F.max("approx").alias("approx"))
     best = merged.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("approx").desc(), "b"))).filter(F.col("r") <= keep)
     pairs = materialise(best.select("a", "b"), "candidate-pairs")
@@ -187,25 +161,20 @@ def similar_vectors(
 
 
 def _posts(indexed: DataFrame, list_rows: int, tile_rows: int) -> DataFrame:
-    """Postings (space, p, p2, t, u, class, code, as_query, as_data) of bounded lists; p2, t, u are -1 where a list needs no split."""
+    """Postings (space, p, t, u, class, code, as_query, as_data) of bounded lists; t and u are -1 where a list needs no tiles."""
 
     def near(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_LISTS else df
 
     slim = indexed.select("class", "space", F.explode("near").alias("p"))
-    long = materialise(slim.groupBy("space", "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > list_rows).select(F.col("space").alias("ls"), F.col("p").alias("lp")), "long-lists")
+    counts = slim.groupBy("space", "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > list_rows)
+    long = materialise(counts.select(F.col("space").alias("ls"), F.col("p").alias("lp"), F.ceil(F.col("n") / F.lit(tile_rows)).alias("tiles")), "long-lists")
     if long.isEmpty():
-        posts = indexed.select("space", F.explode("near").alias("p"), F.lit(-1).alias("p2"), "class", "code", "asks")
+        posts = indexed.select("space", F.explode("near").alias("p"), "class", "code", "asks")
         return posts.select("*", F.lit(-1).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("u"), F.col("asks").alias("as_query"), F.lit(True).alias("as_data"))
-    every = indexed.select("space", F.explode("near").alias("p"), "near", "class", "code", "asks")
-    every = every.join(near(long), (F.col("space") == F.col("ls")) & (F.col("p") == F.col("lp")), "left")
-    second = F.explode(F.when(F.col("lp").isNull(), F.array(F.lit(-1))).otherwise(F.filter("near", lambda x: x != F.col("p"))))
-    split = every.select("space", "p", second.alias("p2"), "class", "code", "asks")
-    counts = split.groupBy("space", "p", "p2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > list_rows)
-    dense = materialise(counts.select(F.col("space").alias("ds"), F.col("p").alias("dp"), F.col("p2").alias("dq"), F.ceil(F.col("n") / F.lit(tile_rows)).alias("tiles")), "dense-lists")
-    split = split.join(near(dense), (F.col("space") == F.col("ds")) & (F.col("p") == F.col("dp")) & (F.col("p2") == F.col("dq")), "left")
-    tile = F.pmod(F.xxhash64("class", F.lit(5)), F.coalesce(F.col("tiles"), F.lit(1)))
-    split = split.withColumn("tile", tile)
+    every = indexed.select("space", F.explode("near").alias("p"), "class", "code", "asks")
+    split = every.join(near(long), (F.col("space") == F.col("ls")) & (F.col("p") == F.col("lp")), "left")
+    split = split.withColumn("tile", F.pmod(F.xxhash64("class", F.lit(5)), F.coalesce(F.col("tiles"), F.lit(1))))
     # A query tile meets every data tile: (t, u) = (tile of the query, tile of the data).
     sides = F.explode(
         F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(-1).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("u"), F.lit(True).alias("q"), F.lit(True).alias("d")))).otherwise(
@@ -217,8 +186,8 @@ def _posts(indexed: DataFrame, list_rows: int, tile_rows: int) -> DataFrame:
             )
         )
     ).alias("s")
-    cut = split.select("space", "p", "p2", "class", "code", "asks", sides)
-    cut = cut.select("space", "p", "p2", "class", "code", F.col("s.t").alias("t"), F.col("s.u").alias("u"), (F.col("asks") & F.col("s.q")).alias("as_query"), F.col("s.d").alias("as_data"))
+    cut = split.select("space", "p", "class", "code", "asks", sides)
+    cut = cut.select("space", "p", "class", "code", F.col("s.t").alias("t"), F.col("s.u").alias("u"), (F.col("asks") & F.col("s.q")).alias("as_query"), F.col("s.d").alias("as_data"))
     return cut.filter("as_query or as_data")
 
 

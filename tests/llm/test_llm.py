@@ -66,6 +66,20 @@ def test_vectors_edges(spark):
     assert [r.vec_id for r in asked.collect()] == [2]
 
 
+def test_vectors_in_a_dense_cluster(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    points = np.float32(np.concatenate([rng.normal(size=(1200, 64)), centre + 0.1 * rng.normal(size=(900, 64))]))
+    df = spark.createDataFrame([(k, "a", [float(x) for x in v]) for k, v in enumerate(points)], "vec_id bigint, space string, v array<float>")
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -9)
+    want = {(a, int(b)) for a in range(1200, 2100) for b in np.argsort(-cosine[a])[:5]}
+    for options in ({}, {"list_rows": 400, "tile_rows": 200}):
+        found = similar_vectors(df, "vec_id", "space", "v", 5, min_cosine=0.85, **options).collect()
+        assert len(want & {(r.vec_id, r.neighbour_id) for r in found}) / len(want) >= 0.99, options
+
+
 # ---- top n ------------------------------------------------------------------------------------
 
 
