@@ -11,6 +11,7 @@ whose pairs are separate groups: no group is unbounded, no vector is dropped, an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from shelfmark.session import materialise
 
 #: Vectors per pivot, and the bounds of the number of pivots (4,096 pivots of 64 floats are 1 MB).
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 64, 4096
+#: Pivots up to which ``length`` holds as given; beyond them it grows with the square root of their number.
+LENGTH_PIVOTS = 1000
 #: Rows of one inverted file, and of one tile of a longer one.
 LIST_ROWS, TILE_ROWS = 4000, 2000
 #: Tables of long lists up to this many rows are broadcast (about 40 bytes each).
@@ -100,7 +103,7 @@ def similar_vectors(
     * Unsound vectors (null, other than ``dims`` numbers, not finite, all zero), null keys and null spaces take no part.
     * Equal cosines (to nine decimals) go to the smaller key. Equal vectors are found exactly. A row repeated with its key counts once.
     * ``min_cosine`` drops less similar pairs early; ``queries`` is a condition on ``key`` for the vectors that ask (all by default).
-    * ``length``: pivots a vector is posted under.
+    * ``length``: pivots a vector is posted under, more of them where there are more than ``LENGTH_PIVOTS`` pivots.
     * ``rerank`` is accepted for callers of old and has no effect: inverted files are compared whole.
     * Fewer vectors than ``k`` give fewer rows, an empty table none. Extra columns are ignored.
     """
@@ -119,7 +122,8 @@ def similar_vectors(
     drawn = classes.filter(F.abs(F.hash("class")) <= F.lit(int(share * (2**31 - 1)))) if share < 1.0 else classes
     pivot_rows = drawn.select("class", "v").orderBy(F.hash("class"), "class").limit(count).collect()
     pivots = spark.sparkContext.broadcast(_unit(np.array([r.v for r in pivot_rows], dtype=np.float64)).astype(np.float32) if pivot_rows else np.zeros((0, dims), np.float32))
-    length = max(1, min(length, len(pivot_rows)))
+    # Of more pivots two neighbours share fewer of their nearest ones.
+    length = max(1, min(math.ceil(length * math.sqrt(max(1.0, len(pivot_rows) / LENGTH_PIVOTS))), len(pivot_rows)))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pivots.value

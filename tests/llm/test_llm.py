@@ -80,6 +80,17 @@ def test_vectors_in_a_dense_cluster(spark):
         assert len(want & {(r.vec_id, r.neighbour_id) for r in found}) / len(want) >= 0.99, options
 
 
+def test_vectors_among_many_pivots(spark):
+    points = np.float32(np.random.default_rng(3).normal(size=(4000, 16)))
+    df = spark.createDataFrame([(k, "a", [float(x) for x in v]) for k, v in enumerate(points)], "vec_id bigint, space string, v array<float>")
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1, keepdims=True)
+    cosine = unit[:200] @ unit.T
+    cosine[np.arange(200), np.arange(200)] = -9
+    want = {(a, int(b)) for a in range(200) for b in np.argsort(-cosine[a])[:5]}
+    found = similar_vectors(df, "vec_id", "space", "v", 5, dims=16, queries=F.col("vec_id") < 200, length=4, per_pivot=1).collect()
+    assert len(want & {(r.vec_id, r.neighbour_id) for r in found}) / len(want) >= 0.9
+
+
 # ---- top n ------------------------------------------------------------------------------------
 
 
