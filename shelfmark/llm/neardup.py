@@ -26,7 +26,7 @@ from shelfmark.session import materialise
 
 #: Members of one tile of a bucket.
 TILE = 512
-#: Classes of copies with at most this many members to both sides are written out in full, larger ones as stars.
+#: Up to this many pairs of members of a class, or of two linked classes, all are written out; beyond it stars.
 FULL_PAIRS = 10_000
 
 #: White space other than the plain space (fixed values of Unicode).
@@ -204,7 +204,9 @@ def near_duplicates(records: DataFrame, key: str, text: str, group: str, width:
     * Texts are compared as given (see ``normal_text``); null and empty texts, null keys and null groups take no part.
     * Records repeated under the same key and text count once. Extra columns are ignored; an empty table gives no rows.
     * Exact copies form classes. Members of two linked classes, or of one class, are written out in pairs up to
-      ``FULL_PAIRS`` pairs; beyond it as a star around the smallest key of each class, which keeps every record connected.
+      ``FULL_PAIRS`` pairs, and where one of the classes is a single record; beyond it every member is paired with the
+      smallest key of another group in its own class and in every linked one, which keeps every record connected that
+      has a counterpart in another group.
     * A class is a 64-bit hash of the text. Should two different texts ever meet in one, the job fails rather than
       merging them; another ``seed`` parts them.
     """
@@ -219,19 +221,46 @@ def near_duplicates(records: DataFrame, key: str, text: str, group: str, width:
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of records from links of classes; see ``near_duplicates`` for the form of large classes."""
-    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first"))
-    ranked = members.join(sizes, "class")
-    # Within one class: all pairs of a small one, first key to each other key of a large one.
-    limit = int(math.isqrt(FULL_PAIRS))
-    many = ranked.filter("n > 1")
-    ones = many.select("class", F.col("key").alias("key_a"), F.col("grp").alias("grp_a"), "n", "first").filter(f"n <= {limit} or key_a = first")
-    others = many.select("class", F.col("key").alias("key_b"), F.col("grp").alias("grp_b"))
-    inner = ones.join(others, "class").filter("key_a < key_b and grp_a <> grp_b").select("key_a", "key_b", F.lit(1.0).alias("similarity"))
-
-    # Between linked classes: all members, or the first key on a side that is too large.
-    def side(s: str) -> DataFrame:
-        return ranked.select(F.col("class").alias(f"class_{s}"), F.col("key").alias(f"k{s}"), F.col("grp").alias(f"g{s}"), F.col("n").alias(f"n{s}"), F.col("first").alias(f"f{s}")).filter(f"n{s} <= {limit} or k{s} = f{s}")
-
-    between = links.join(side("a"), "class_a").join(side("b"), "class_b").filter("ga <> gb")
-    between = between.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
-    return inner.unionByName(between).groupBy("key_a", "key_b").agg(F.max("similarity").alias("similarity"))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        ones, others = (rows.select("class", F.col("key").alias(f"key_{s}"), F.col("grp").alias(f"grp_{s}")) for s in "ab")
+        return ones.join(others, "class").filter("key_a < key_b and grp_a <> grp_b").select("key_a", "key_b", F.lit(1.0).alias("similarity"))
+
+    def between(pairs: DataFrame) -> DataFrame:
+        left, right = (members.select(F.col("class").alias(f"class_{s}"), F.col("key").alias(f"k{s}"), F.col("grp").alias(f"g{s}")) for s in "ab")
+        joined = pairs.select("class_a", "class_b", "similarity").join(left, "class_a").join(right, "class_b").filter("ga <> gb and ka <> kb")
+        return joined.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"), "similarity")
+
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "grp")).alias("c1")).filter("n > 1")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest * largest <= FULL_PAIRS:
+        # No class and no link has too many pairs.
+        return inside(members).unionByName(between(links)).groupBy("key_a", "key_b").agg(F.max("similarity").alias("similarity"))
+
+    # Centres of a star: the first key, and the first key of another group for those in the first one's group.
+    second = members.join(sizes, "class").filter(F.col("grp") != F.col("c1.grp")).groupBy("class").agg(F.min("key").alias("k2"))
+    several = sizes.select("class", "n", F.col("c1.key").alias("k1"), F.col("c1.grp").alias("g1")).join(second, "class", "left")
+    several = materialise(several, "copied-classes")
+
+    def to_centre(rows: DataFrame) -> DataFrame:
+        centre = F.when(F.col("grp") != F.col("g1"), F.col("k1")).otherwise(F.col("k2"))
+        rows = rows.withColumn("centre", centre).filter("centre is not null and centre <> key")
+        return rows.select(F.least("key", "centre").alias("key_a"), F.greatest("key", "centre").alias("key_b"), "similarity")
+
+    # Within one class: all pairs of a small one, each key to a centre of a large one.
+    many = members.join(several, "class")
+    small = F.col("n") * (F.col("n") - 1) <= 2 * FULL_PAIRS
+    out = inside(many.filter(small)).unionByName(to_centre(many.filter(~small).withColumn("similarity", F.lit(1.0))))
+
+    # Between linked classes: all pairs of members, or each member of either side to a centre of the other.
+    def named(s: str) -> DataFrame:
+        return several.select(F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n{s}"), F.col("k1").alias(f"k1{s}"), F.col("g1").alias(f"g1{s}"), F.col("k2").alias(f"k2{s}"))
+
+    sized = materialise(links.join(named("a"), "class_a", "left").join(named("b"), "class_b", "left"), "sized-links")
+    # A side that isn't among the copied classes is one record, whose pairs are no more than those of a star.
+    full = F.coalesce(F.col("na") * F.col("nb") <= FULL_PAIRS, F.lit(True))
+    out = out.unionByName(between(sized.filter(full)))
+    for s, o in ("ab", "ba"):
+        star = sized.filter(~full).select(F.col(f"class_{s}").alias("class"), F.col(f"k1{o}").alias("k1"), F.col(f"g1{o}").alias("g1"), F.col(f"k2{o}").alias("k2"), "similarity")
+        out = out.unionByName(to_centre(star.join(members, "class")))
+    return out.groupBy("key_a", "key_b").agg(F.max("similarity").alias("similarity"))

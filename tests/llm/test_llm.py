@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.encode import TOKENIZERS, Encoder, Lexicon, _merger, encode_column
 from shelfmark.llm.language import Model, SuffixAutomaton, departing_languages, dominant_language, fit, letters_of, named_language, phrases, segment_languages
 from shelfmark.llm.markup import clean_block, clean_markup, main_content, parse_html
-from shelfmark.llm.neardup import Signer, agreement, estimate, near_duplicates, normal_text, similar_classes
+from shelfmark.llm.neardup import Signer, agreement, estimate, expand, near_duplicates, normal_text, similar_classes
 from shelfmark.llm.packing import fill_by_likeness, fill_by_size, pack_containers
 from shelfmark.llm.sentences import sentences, split_sentences
 from shelfmark.llm.topn import top_n_per_group
@@ -195,6 +195,34 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates(df.limit(0), "key", "text", "grp", 5, 0.7, 50, 6).count() == 0
 
 
+def test_large_classes_as_stars(spark):
+    links = spark.createDataFrame([(1, 2, 0.9)], "class_a bigint, class_b bigint, similarity double")
+
+    def pairs(members):
+        rows = spark.createDataFrame(members, "key string, grp string, class bigint")
+        found = [(r.key_a, r.key_b) for r in expand(rows, links).collect()]
+        group = {k: g for k, g, _ in members}
+        assert len(found) == len(set(found)) and all(a < b and group[a] != group[b] for a, b in found)
+        return set(found)
+
+    # 101 copies and one different text: all pairs of the link.
+    copies = [(f"a{k:03}", f"f{k}", 1) for k in range(101)]
+    assert {(a, "z") for a, _, _ in copies} <= pairs([*copies, ("z", "other", 2)])
+    # Both classes are large, begin in the same file, and have more members of it.
+    first = [(f"a{k:03}", "same" if k < 20 else f"f{k}", 1) for k in range(160)]
+    last = [(f"b{k:03}", "same" if k < 20 else f"g{k}", 2) for k in range(160)]
+    found = pairs(first + last)
+    inner = {k for p in found if p[0][0] == p[1][0] for k in p}
+    between = {k for p in found if p[0][0] != p[1][0] for k in p}
+    assert inner == between == {k for k, _, _ in first + last}
+    reached, todo = set(), ["a000"]
+    while todo:
+        key = todo.pop()
+        reached.add(key)
+        todo += [x for p in found if key in p for x in p if x not in reached]
+    assert reached == between
+
+
 def test_hot_bucket_in_tiles(spark):
     base = "the quick brown fox jumps over the lazy dog and runs through the dark forest until the morning comes again "
     texts = [(k, base + f"number {k}") for k in range(60)]
