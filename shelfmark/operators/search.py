@@ -55,8 +55,8 @@ def multi_vector_top_k(rows: DataFrame, vector: str, queries: Sequence[Sequence[
     return fit.withColumn("score", best).drop(vector).orderBy(F.col("score").desc(), *[F.col(k).asc() for k in keys]).limit(limit)
 
 
-def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, limit: int, space: str | None = None) -> DataFrame:
-    """(query_key, key, score, rank): a stated set of queries against all rows, exact.
+def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, limit: int, space: str | None = None, digits: int = 9) -> DataFrame:
+    """(query_key, key, score, rank): a stated set of queries against all rows, exact; scores equal to ``digits`` decimals go to the smaller key.
 
     The queries travel to the rows in blocks of matrices inside one Arrow stage; of each block only the ``limit`` best rows
     per task and query leave it, so the exchange carries ids and scores alone.
@@ -84,10 +84,14 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, quer
                 at = [k for k, n in enumerate(names) if n == name]
                 values = np.array(batch.column(1).take(pa.array(at)).to_pylist(), dtype=np.float64)
                 values /= np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300)
-                score = matrix @ values.T
+                score = np.round(matrix @ values.T, digits)
                 keys = batch.column(0).take(pa.array(at)).to_pylist()
                 for i, q in enumerate(ids):
-                    near = np.argsort(-score[i], kind="stable")[: limit * 2] if len(keys) > limit * 2 else range(len(keys))
+                    near = range(len(keys))
+                    if len(keys) > limit:
+                        # All rows of the limit-th score or a better one: among equal scores the keys decide.
+                        known = np.where(np.isnan(score[i]), -np.inf, score[i])
+                        near = np.nonzero(known >= np.partition(known, len(keys) - limit)[len(keys) - limit])[0]
                     held = best.setdefault((name, q), []) + [(-float(score[i, j]), keys[j]) for j in near]
                     best[(name, q)] = sorted(held)[:limit]
         flat = [(q, k, -s) for (_, q), held in best.items() for s, k in held]

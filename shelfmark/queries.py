@@ -240,7 +240,7 @@ def search_multi_vector(spark, d):
 def search_batch(spark, d):
     rows = table(spark, d, "embeddings")
     asked = rows.filter("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return S.batch_top_k(rows, "vec_id", "embedding", asked, "query_id", "v", 5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+    return S.batch_top_k(rows, "vec_id", "embedding", asked, "query_id", "v", 5, digits=5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("vector_validity", "SELECT vector_name, coalesce(len(vectors) = 64 AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0, false) AS ok, count(*) AS n FROM prepared_segments GROUP BY ALL")

@@ -208,6 +208,13 @@ def test_text_and_ids(spark):
     assert sorted(tuple(r) for r in ranges.collect()) == [("a", 0, 0.0, 10.0), ("a", 1, 5.0, 12.0), ("b", 0, 0.0, 3.0)]
 
 
+def test_batch_search_ties(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.5 + (k >= 40)]) for k in reversed(range(60))], "id bigint, v array<float>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 0.5])], "query_id bigint, w array<float>")
+    found = S.batch_top_k(rows, "id", "v", asked, "query_id", "w", 5).orderBy("rank").collect()
+    assert [r.id for r in found] == [0, 1, 2, 3, 4]
+
+
 def test_catalogue(spark):
     found = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", None)], "path_key string, content_hash string")
     known = spark.createDataFrame([("a", "1"), ("b", "x")], "path_key string, content_hash string")
