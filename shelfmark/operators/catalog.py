@@ -28,14 +28,15 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
-def duplicate_groups(files: DataFrame, content: str = "content_hash", member: str = "path_key", most: int = 10_000) -> DataFrame:
+def duplicate_groups(files: DataFrame, content: str = "content_hash", member: str = "path_key", most: int | None = None) -> DataFrame:
     """(content_hash, copies, members): contents that more than one file holds, members sorted.
 
-    Groups of more than ``most`` files keep their exact count and their ``most`` first members, so that no row outgrows a task;
-    ``duplicate_members`` lists the members of every group in rows.
+    All members are listed; with ``most`` a larger group keeps its exact count and its ``most`` first members.
+    ``duplicate_members`` lists the members of every group in rows, for groups that one row can't hold.
     """
     ranked = duplicate_members(files, content, member)
-    return ranked.groupBy(content).agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(F.when(F.col("position") <= most, F.col(member)))).alias("members"))
+    shown = F.col(member) if most is None else F.when(F.col("position") <= most, F.col(member))
+    return ranked.groupBy(content).agg(F.max("copies").alias("copies"), F.sort_array(F.collect_list(shown)).alias("members"))
 
 
 def duplicate_members(files: DataFrame, content: str = "content_hash", member: str = "path_key") -> DataFrame:

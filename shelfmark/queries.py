@@ -314,6 +314,11 @@ def duplicate_groups(spark, d):
     return C.duplicate_groups(table(spark, d, "files").withColumn("content_hash", bare_hash(F.col("content_hash"))))
 
 
+@query("duplicate_members", f"WITH f AS (SELECT DISTINCT {_HASH} AS content_hash, path_key FROM files WHERE content_hash IS NOT NULL) SELECT content_hash, path_key, count(*) OVER (PARTITION BY content_hash) AS copies, CAST(row_number() OVER (PARTITION BY content_hash ORDER BY path_key) AS INTEGER) AS position FROM f QUALIFY copies > 1")
+def duplicate_members(spark, d):
+    return C.duplicate_members(table(spark, d, "files").withColumn("content_hash", bare_hash(F.col("content_hash"))))
+
+
 @query("document_copies", "WITH t AS (SELECT sha256(text) AS content_hash, doc_id FROM documents WHERE text IS NOT NULL AND text <> '') SELECT content_hash, count(*) AS copies, min(doc_id) AS first_id FROM t GROUP BY ALL HAVING count(*) > 1")
 def document_copies(spark, d):
     docs = table(spark, d, "documents").filter("text is not null and text <> ''").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "doc_id")

@@ -224,6 +224,12 @@ def test_catalogue(spark):
     assert [(r.copies, r.members) for r in C.duplicate_groups(files, most=1).collect()] == [(2, ["p1"])]
 
 
+def test_large_duplicate_group_is_whole(spark):
+    files = spark.range(10_500).select(F.lit("1").alias("content_hash"), F.format_string("p%05d", "id").alias("path_key"))
+    group = C.duplicate_groups(files).first()
+    assert group.copies == 10_500 and group.members == [f"p{k:05}" for k in range(10_500)]
+
+
 # ---- requests and media -----------------------------------------------------------------------
 
 
