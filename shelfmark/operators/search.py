@@ -55,24 +55,32 @@ def multi_vector_top_k(rows: DataFrame, vector: str, queries: Sequence[Sequence[
     return fit.withColumn("score", best).drop(vector).orderBy(F.col("score").desc(), *[F.col(k).asc() for k in keys]).limit(limit)
 
 
-def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, limit: int, space: str | None = None, digits: int = 9) -> DataFrame:
+def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, limit: int, space: str | None = None, digits: int = 9, metric: str = "cosine", predicate: Predicate | None = None) -> DataFrame:
     """(query_key, key, score, rank): a stated set of queries against all rows, exact; scores equal to ``digits`` decimals go to the smaller key.
 
-    The queries travel to the rows in blocks of matrices inside one Arrow stage; of each block only the ``limit`` best rows
+    A query key that is repeated asks with several vectors, of which the best score of a row counts. The filter runs before
+    the scoring. The queries travel to the rows in blocks of matrices inside one Arrow stage; of each block only the ``limit`` best rows
     per task and query leave it, so the exchange carries ids and scores alone.
     """
     import numpy as np
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
     _checked(limit)
+    larger = V.METRICS[metric]
+    rows = apply_predicate(rows, predicate)
     spark = rows.sparkSession
     qs = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"), (F.col(space) if space else F.lit("")).alias("s")).filter("v is not null").collect()
-    by_space: dict[str, tuple[list, np.ndarray]] = {}
+    by_space: dict[str, tuple[list, np.ndarray, list[int]]] = {}
     for name in {r.s for r in qs}:
-        mine = [r for r in qs if r.s == name]
+        mine = sorted((r for r in qs if r.s == name), key=lambda r: (r.q is not None, r.q))
         matrix = np.array([r.v for r in mine], dtype=np.float64)
-        by_space[name] = ([r.q for r in mine], matrix / np.linalg.norm(matrix, axis=1, keepdims=True))
+        if metric == "cosine":
+            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        first = [k for k, r in enumerate(mine) if not k or r.q != mine[k - 1].q]
+        by_space[name] = ([mine[k].q for k in first], matrix, first)
     sent = spark.sparkContext.broadcast(by_space)
+    kinds = [to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(rows.schema[key].dataType)]
     row_kind, query_kind = rows.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
 
     def scan(batches):
@@ -80,11 +88,19 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, quer
         for batch in batches:
             names = batch.column(2).to_pylist()
             for name in set(names) & set(sent.value):
-                ids, matrix = sent.value[name]
+                ids, matrix, first = sent.value[name]
                 at = [k for k, n in enumerate(names) if n == name]
                 values = np.array(batch.column(1).take(pa.array(at)).to_pylist(), dtype=np.float64)
-                values /= np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300)
-                score = np.round(matrix @ values.T, digits)
+                if metric == "cosine":
+                    values /= np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-300)
+                if metric in ("cosine", "dot"):
+                    score = matrix @ values.T
+                elif metric == "euclid":
+                    score = -np.stack([np.sqrt(((values - q) ** 2).sum(axis=1)) for q in matrix])
+                else:
+                    score = -np.stack([np.abs(values - q).sum(axis=1) for q in matrix])
+                # The larger, the better; the best of several vectors of one query counts.
+                score = np.round(np.maximum.reduceat(score, first, axis=0), digits)
                 keys = batch.column(0).take(pa.array(at)).to_pylist()
                 for i, q in enumerate(ids):
                     near = range(len(keys))
@@ -94,13 +110,13 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, quer
                         near = np.nonzero(known >= np.partition(known, len(keys) - limit)[len(keys) - limit])[0]
                     held = best.setdefault((name, q), []) + [(-float(score[i, j]), keys[j]) for j in near]
                     best[(name, q)] = sorted(held)[:limit]
-        flat = [(q, k, -s) for (_, q), held in best.items() for s, k in held]
+        flat = [(q, k, -s if larger else s) for (_, q), held in best.items() for s, k in held]
         if flat:
-            yield pa.RecordBatch.from_pydict({"q": [f[0] for f in flat], "k": [f[1] for f in flat], "score": [f[2] for f in flat]})
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], kinds[0]), pa.array([f[1] for f in flat], kinds[1]), pa.array([f[2] for f in flat], pa.float64())], names=["q", "k", "score"])
 
     slim = rows.select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col(space) if space else F.lit("")).alias("s")).filter("v is not null")
     found = slim.mapInArrow(scan, f"q {query_kind}, k {row_kind}, score double")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), "k"))).filter(F.col("rank") <= limit)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(_better(metric, F.col("score")), "k"))).filter(F.col("rank") <= limit)
     return ranked.select(F.col("q").alias(query_key), F.col("k").alias(key), "score", "rank")
 
 
@@ -112,6 +128,18 @@ def group_by_parent(hits: DataFrame, parent: str, limit: int, score: str = "scor
     return groups.orderBy(F.col("best_score").desc(), parent).limit(limit).select(parent, "best_score", F.transform("m", lambda x: x["index"]).alias("matches"))
 
 
+def groups_by_parent(hits: DataFrame, query: str, parent: str, limit: int, score: str = "score", index: str = "segment_index") -> DataFrame:
+    """(query, parent, best_score, matches): what ``group_by_parent`` gives, for every query of a table of hits at once."""
+    _checked(limit)
+    match = F.struct((-F.col(score)).alias("order"), F.col(index).alias("index"))
+    best = hits.groupBy(query, parent).agg(F.max(score).alias("best_score"))
+    first = best.withColumn("_r", F.row_number().over(W.partitionBy(query).orderBy(F.col("best_score").desc(), parent))).filter(F.col("_r") <= limit)
+    # Lists are formed for the groups that come out only.
+    kept = hits.join(first.select(query, parent), [query, parent], "left_semi")
+    groups = kept.groupBy(query, parent).agg(F.max(score).alias("best_score"), F.sort_array(F.collect_list(match)).alias("m"))
+    return groups.select(query, parent, "best_score", F.transform("m", lambda x: x["index"]).alias("matches"))
+
+
 def best_per_file(results: DataFrame, query: str, file: str, rank: str) -> DataFrame:
     """First result of each file in each list, ranked anew from 1."""
     first = results.groupBy(query, file).agg(F.min(rank).alias("_first"))

@@ -211,12 +211,13 @@ def _search(metric: str) -> Query:
     return run
 
 
-for _metric, _value, _order in (
+_SEARCHES = (
     ("cosine", _COS, "DESC"),
     ("dot", "round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5)", "DESC"),
     ("euclid", "round(list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5)", "ASC"),
     ("manhattan", "round(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda z: abs(z[1] - z[2]))), 5)", "ASC"),
-):
+)
+for _metric, _value, _order in _SEARCHES:
     query(f"search_{_metric}", f"SELECT e.vec_id, e.label, {_value} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score {_order}, e.vec_id LIMIT 10")(_search(_metric))
 
 
@@ -243,6 +244,40 @@ def search_batch(spark, d):
     return S.batch_top_k(rows, "vec_id", "embedding", asked, "query_id", "v", 5, digits=5).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
 
 
+# The same searches for the whole query set: every row whose id is divisible by 50 against all rows.
+_ASKED = "(SELECT vec_id AS query_id, label AS query_label, embedding FROM embeddings WHERE vec_id % 50 = 0) q"
+
+
+def _batch_sql(value: str, order: str, where: str = "true") -> str:
+    rank = f"CAST(row_number() OVER (PARTITION BY query_id ORDER BY score {order}, vec_id) AS INTEGER)"
+    return f"SELECT query_id, vec_id, score, {rank} AS rank FROM (SELECT q.query_id, e.vec_id, {value} AS score FROM embeddings e, {_ASKED} WHERE {where}) QUALIFY rank <= 10"
+
+
+def _batch(spark, d, limit: int, asked: str = "vec_id", metric: str = "cosine", predicate: Predicate | None = None) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    queries = rows.filter("vec_id % 50 = 0").select(F.col(asked).alias("query_id"), F.col("embedding").alias("v"))
+    found = S.batch_top_k(rows, "vec_id", "embedding", queries, "query_id", "v", limit, digits=5, metric=metric, predicate=predicate)
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
+for _metric, _value, _order in _SEARCHES:
+    query(f"search_{_metric}_all", _batch_sql(_value, _order))(lambda spark, d, m=_metric: _batch(spark, d, 10, metric=m))
+
+
+@query("search_filtered_all", _batch_sql(_COS, "DESC", "e.label IN (1, 3, 5)"))
+def search_filtered_all(spark, d):
+    return _batch(spark, d, 10, predicate=Predicate(all_of=(Condition("label", "in", [1, 3, 5]),)))
+
+
+@query(
+    "search_multi_vector_all",
+    f"SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.query_label AS query_id, e.vec_id, max({_COS}) AS score FROM embeddings e, {_ASKED} GROUP BY ALL) QUALIFY rank <= 15",
+)
+def search_multi_vector_all(spark, d):
+    """The asking vectors of one label are one query of several vectors."""
+    return _batch(spark, d, 15, asked="label")
+
+
 @query("vector_validity", "SELECT vector_name, coalesce(len(vectors) = 64 AND len(list_filter(vectors, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0, false) AS ok, count(*) AS n FROM prepared_segments GROUP BY ALL")
 def vector_validity(spark, d):
     return table(spark, d, "prepared_segments").groupBy("vector_name", V.valid(F.col("vectors"), 64).alias("ok")).agg(F.count(F.lit(1)).alias("n"))
@@ -267,6 +302,18 @@ def group_by_parent(spark, d):
     return S.group_by_parent(hits, "file_id", 20)
 
 
+@query(
+    "group_by_parent_all",
+    f"WITH h AS (SELECT query_id, file_id, segment_index, max(score) AS score FROM hits WHERE {_FINITE} AND segment_index IS NOT NULL GROUP BY ALL) "
+    "SELECT query_id, file_id, max(score) AS best_score, list(segment_index ORDER BY score DESC, segment_index) AS matches FROM h GROUP BY query_id, file_id "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, file_id) <= 20",
+)
+def group_by_parent_all(spark, d):
+    """The 20 best result groups of every query's hits."""
+    hits = _finite_hits(spark, d).filter("segment_index is not null").groupBy("query_id", "file_id", "segment_index").agg(F.max("score").alias("score"))
+    return S.groups_by_parent(hits, "query_id", "file_id", 20)
+
+
 _RANKED = f"r AS (SELECT query_id, file_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id) AS INTEGER) AS rank FROM hits WHERE {_FINITE})"
 
 

@@ -215,6 +215,25 @@ def test_batch_search_ties(spark):
     assert [r.id for r in found] == [0, 1, 2, 3, 4]
 
 
+def test_searches_of_a_query_set(spark):
+    from shelfmark.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    rows = {r.vec_id: r for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    matrix = {k: np.array(r.embedding, dtype=np.float64) for k, r in rows.items()}
+    value = {"cosine": lambda a, b: -(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), "dot": lambda a, b: -(a @ b), "euclid": lambda a, b: np.linalg.norm(a - b), "manhattan": lambda a, b: np.abs(a - b).sum()}
+    asked = [k for k in rows if k % 50 == 0]
+    for name, metric in value.items():
+        want = {(q, k) for q in asked for _, k in sorted((round(float(metric(matrix[q], v)), 5), k) for k, v in matrix.items())[:10]}
+        assert {(r.query_id, r.vec_id) for r in QUERIES[f"search_{name}_all"](spark, data).collect()} == want, name
+    found = QUERIES["search_filtered_all"](spark, data).collect()
+    assert {r.query_id for r in found} == set(asked) and {rows[r.vec_id].label for r in found} <= {1, 3, 5}
+    assert {r.query_id for r in QUERIES["search_multi_vector_all"](spark, data).collect()} == {rows[q].label for q in asked}
+    hits = spark.read.parquet(f"{data}/hits.parquet").filter("score is not null and not isnan(score) and abs(score) < double('inf') and file_id is not null and segment_index is not null")
+    groups = QUERIES["group_by_parent_all"](spark, data).collect()
+    assert {r.query_id for r in groups} == {r.query_id for r in hits.select("query_id").distinct().collect()}
+
+
 def test_catalogue(spark):
     found = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", None)], "path_key string, content_hash string")
     known = spark.createDataFrame([("a", "1"), ("b", "x")], "path_key string, content_hash string")
