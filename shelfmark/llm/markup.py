@@ -1,9 +1,9 @@
 """Clean text from blocks that still hold HTML, Markdown, wiki or LaTeX markup.
 
 HTML becomes a tree. Every node gets its composite text density (characters per tag, corrected by the share that
-links hold), a node's density sum is that of its children, and the subtree of the greatest sum is the content; a node
-of it is kept where its density reaches the lowest density on the path from that subtree up to the body. The
-elements on that path give the role. Line-oriented markup (Markdown, wiki, LaTeX) is recognised by
+links hold), a node's density sum is that of its children, and the subtree of the greatest sum is the content. Outside of
+it a node is left out where its density stays below the lowest one on the path from that subtree up to the body and most
+of its text is links; prose outside stays, as blocks may be fragments with paragraphs of uneven length. The elements on that path give the role. Line-oriented markup (Markdown, wiki, LaTeX) is recognised by
 the shape of the whole block, and inline marks are unwrapped inside of it.
 """
 
@@ -203,7 +203,27 @@ def _path(node: Node) -> list[str]:
     return tags[::-1]
 
 
-def node_text(node: Node, threshold: float = 0.0) -> str:
+def _boilerplate(body: Node, content: Node, threshold: float) -> set[int]:
+    """Ids of nodes outside the content that are less dense than its path and in which two links or more hold most of the text."""
+    path, node = set(), content
+    while node is not None:
+        path.add(id(node))
+        node = node.parent
+    found, stack = set(), [body]
+    while stack:
+        node = stack.pop()
+        if node is content:
+            continue
+        for child in node.children:
+            if isinstance(child, Node) and child.tag not in DROPPED:
+                if id(child) not in path and child.density < threshold and child.link_tags > 1 and 2 * child.link_chars > child.chars:
+                    found.add(id(child))
+                else:
+                    stack.append(child)
+    return found
+
+
+def node_text(node: Node, threshold: float = 0.0, without: set[int] | frozenset[int] = frozenset()) -> str:
     """Text of a subtree: table rows as lines of cells between bars, list items and blocks on lines of their own."""
     verbatim = ("pre", "syntaxhighlight", "source", "textarea")
     parts: list[str] = []
@@ -220,7 +240,7 @@ def node_text(node: Node, threshold: float = 0.0) -> str:
             if isinstance(child, str):
                 todo.append((child, literal, False))
                 continue
-            if child.tag in DROPPED or (child.chars and child.density < threshold and child.tag in ("nav", "footer", "aside", "form", "menu")):
+            if child.tag in DROPPED or id(child) in without or (child.chars and child.density < threshold and child.tag in ("nav", "footer", "aside", "form", "menu")):
                 continue
             if child.tag in ("br", "hr"):
                 todo.append(("\n", literal, True))
@@ -341,7 +361,7 @@ def clean_block(text: str | None) -> tuple[str | None, str | None, bool]:
         tree = parse_html(COMMENT.sub("", body))
         role = _html_role(tree)
         content, threshold = main_content(tree)
-        clean = node_text(content if role is not None and len(_path(content)) > 1 and content.chars == tree.chars else tree, threshold)
+        clean = node_text(content if role is not None and len(_path(content)) > 1 and content.chars == tree.chars else tree, threshold, _boilerplate(tree, content, threshold))
         return (clean if role in ("code", "other") else _inline(clean)[0]), role, True
     clean, found = _inline(body)
     if _has_entity(clean):

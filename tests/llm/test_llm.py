@@ -272,6 +272,19 @@ def test_text_density_finds_content():
     assert clean_block("<b>" * 3000 + "x") == ("x", None, True)
 
 
+def test_text_density_drops_boilerplate():
+    prose = "<div><p>A long paragraph of real prose that says something of weight.</p><p>Another long paragraph of prose with many words in it.</p></div>"
+    links = "<a href='1'>Home</a> <a href='2'>News archive</a> <a href='3'>Contact us</a>"
+    clean = "A long paragraph of real prose that says something of weight.\n\nAnother long paragraph of prose with many words in it."
+    for side in (f"<div><div>{links}</div></div>", f"<ul><li>{links}</li></ul>", f"<table><tr><td>{links}</td></tr></table>"):
+        for page in (side + prose, prose + side):
+            assert clean_block(page)[0] == clean, page
+    # Prose and headings beside the content stay, and so do links inside of it.
+    kept = clean_block("<h2><a href='1'>Title</a></h2>" + prose + "<div><p>Short prose.</p></div>")[0]
+    assert "Title" in kept and clean in kept and "Short prose." in kept
+    assert clean_block(f"<p>{links}</p>")[0] == "Home News archive Contact us"
+
+
 def test_markup_table(spark):
     rows = [(1, "<p>x</p>", "other"), (2, "<p>x</p>", "code"), (3, None, None), (4, "plain", None), (4, "plain", None)]
     df = spark.createDataFrame(rows, "block_id bigint, text string, block_type string").withColumn("had_markup", F.lit("clash"))
