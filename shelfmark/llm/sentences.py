@@ -46,7 +46,7 @@ LAST_WORD = regex.compile(r"[\p{L}\p{M}\p{N}.\-]+$")
 SPACED_END = regex.compile(r"(?:^|[\s(])([\p{L}\p{M}]{1,2}\.\s?[\p{L}\p{M}]{1,2})$")
 SKIP_OPENING = regex.compile(r"[\"“„«「『《‹(\[¿¡'‘\s—–\-]*")
 
-#: Spans of more cuts than this back are not weighed, unless nothing shorter is possible.
+#: Spans of more cuts than this back are not weighed; cuts inside a quotation and cuts of negative score don't count.
 LOOKBACK = 24
 
 
@@ -203,7 +203,12 @@ def _choose(text: str, a: int, b: int, cuts: list, quotes: list[tuple[int, int]]
         torn = inside[j - 1] >= 0 and j <= n
         end = ends[j - 1]
         top, chosen = -1e18, j - 1
-        for i in range(j - 1, max(-1, j - 1 - LOOKBACK), -1):
+        seen = 0
+        for i in range(j - 1, -1, -1):
+            # Starts that tear a quotation or follow a refused cut don't count: the window grows until enough others are reached.
+            if seen == LOOKBACK:
+                break
+            seen += not i or (inside[i - 1] < 0 and cuts[i - 1][2] >= 0)
             begin = starts[i]
             length = end - begin
             span = score - (0.004 * (length - 400) if length > 400 else 0.0) - (2.0 if length < 2 else 0.0)

@@ -392,6 +392,11 @@ def test_sentences():
     assert len(sentences("Word one. " * 3000)) == 3000
 
 
+def test_long_quotation_stays_whole():
+    text = "She wrote “" + " ".join(f"We saw house number {k} today." for k in range(40)) + "” and left. Then it rained."
+    assert [text[a:b] for a, b in sentences(text)] == [text[: text.index(" Then")], "Then it rained."]
+
+
 def test_sentence_table(spark):
     df = spark.createDataFrame([(1, " 🙂 Abc. Cde! "), (1, " 🙂 Abc. Cde! "), (2, None)], "doc_id bigint, text string").withColumn("_key", F.lit(7))
     assert sorted(tuple(r) for r in split_sentences(df, "doc_id", "text").collect()) == [(1, 1, 7), (1, 1, 7), (1, 8, 12), (1, 8, 12)]
