@@ -285,6 +285,33 @@ def test_text_density_drops_boilerplate():
     assert clean_block(f"<p>{links}</p>")[0] == "Home News archive Contact us"
 
 
+def test_density_decides_roles_and_text(monkeypatch):
+    """Without the choice of the content no block gets a role from its markup, and pages keep what isn't content."""
+    import shelfmark.llm.markup as markup
+
+    page = (
+        "<html><head><title>T</title></head><body><div><a href='1'>Ad one</a><a href='2'>Ad two</a></div><h1>A title</h1><div>"
+        + "".join(f"<p>Paragraph {k} of the content, which is prose of some length and holds no link at all.</p>" for k in range(6))
+        + "</div><div>Copyright 2026 <a href='3'>terms</a></div></body></html>"
+    )
+    clean = clean_block(page)[0]
+    assert clean.startswith("A title\n\nParagraph 0") and clean.endswith("no link at all.") and "Ad one" not in clean and "Copyright" not in clean
+    # The same of Markdown, whose links are elements of the same tree.
+    assert clean_block("- [Home](/a/b) and more\n- text")[:2] == ("Home and more\ntext", "list_item")
+    before = [clean_block(t) for t, _, _ in BLOCKS]
+    monkeypatch.setattr(markup, "main_content", lambda body: (body, 0.0))
+    after = [clean_block(t) for t, _, _ in BLOCKS]
+    assert sum(a[1] is not None for a in before) == 26 and all(a[1] is None for a in after)
+    assert "Ad one" in clean_block(page)[0] and "Copyright" in clean_block(page)[0]
+    assert [c[:2] for c in (clean_block("<li>a</li><li>b</li>"), clean_block("<td>a</td>"))] == [("a\nb", None), ("a", None)]
+
+
+def test_implied_parents():
+    assert [clean_block(t)[:2] for t in ("<li>a</li><li>b</li>", "<tr><td>a</td><td>b</td></tr>", "<dt>a</dt><dd>b</dd>")] == [("a\nb", "list_item"), ("a | b", "table"), ("a\nb", "list_item")]
+    # A page of links alone has no other content.
+    assert clean_block("<ul><li><a href='1'>x</a></li><li><a href='2'>y</a></li></ul>")[:2] == ("x\ny", "list_item")
+
+
 def test_markup_table(spark):
     rows = [(1, "<p>x</p>", "other"), (2, "<p>x</p>", "code"), (3, None, None), (4, "plain", None), (4, "plain", None)]
     df = spark.createDataFrame(rows, "block_id bigint, text string, block_type string").withColumn("had_markup", F.lit("clash"))
