@@ -115,6 +115,7 @@ def _ending(text: str, a: int, stop: int, digit_next: bool, ordinals: bool) -> f
 def paragraph_sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """Sentence spans of text[a:b], one paragraph without blank ends."""
     quotes = _quotes(text, a, b)
+    openings = {o for o, _ in quotes}
     piece = text[a:b]
     thai = not piece.isascii() and len(THAI.findall(piece)) * 4 > len(piece)
     ordinals = None
@@ -126,7 +127,7 @@ def paragraph_sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
         run = found[0].rstrip("\"”“»」』》›’'＂)]）】}*_   ")
         stop = found.start() + len(run)
         # Marks that open a quotation don't belong to the sentence before it.
-        while end > stop and any(o == end - 1 for o, _ in quotes):
+        while end > stop and end - 1 in openings:
             end -= 1
         while end > stop and text[end - 1].isspace():
             end -= 1
@@ -139,7 +140,7 @@ def paragraph_sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
             break
         after = text[end]
         wide = run[-1] in WIDE
-        if not (after.isspace() or wide or CJK.match(after) or (end < b and any(o == end for o, _ in quotes))):
+        if not (after.isspace() or wide or CJK.match(after) or end in openings):
             continue
         if not after.isspace() and not wide and run[-1] == ".":
             continue
