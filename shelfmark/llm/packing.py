@@ -3,7 +3,8 @@
 Documents are spread over shards of bounded size. Each shard holds a BM25 inverted index of its documents. The largest
 unused document seeds a container; the index returns its unused neighbours, which fill the window greedily
 in the order of their scores; what is left is closed by the largest unused document that fits. A container with much
-unused space is dissolved, and such rests of all shards are packed once more, by size alone, in larger shards.
+unused space is dissolved; such rests are retrieved and filled once more in new shards, and what still leaves unused
+space then is packed by size alone, in larger shards.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from shelfmark.llm.encode import TOKENIZERS, Encoder, _bounded, _mapped, build_lexicon
 from shelfmark.session import materialise
 
-#: Documents of one shard, and rest items of one shard of the last round.
+#: Documents of one shard (also in the second round), and rest items of one shard of the last round.
 SHARD_DOCS, REST_ITEMS = 2_000, 20_000
-#: A container with a larger share of unused space than this is dissolved into the last round.
+#: A container with a larger share of unused space than this is dissolved into the next round.
 REST_SHARE = 0.01
 #: Terms in more than this share of a shard's documents aren't indexed: they tell no neighbours apart.
 COMMON = 0.2
@@ -127,7 +128,7 @@ def sized_terms(docs: DataFrame, key: str, text: str, group: str | None, tokeniz
                 terms = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     own, count = np.unique(ids[a:b], return_counts=True)
-                    terms.append(own.astype(np.int32).tobytes() + np.minimum(count, 255).astype(np.uint8).tobytes())
+                    terms.append(own.astype(np.int32).tobytes() + count.astype(np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets), pa.int32()), pa.array(terms, pa.binary())], names=["doc", "grp", "tokens", "terms"])
 
     slim = rows.select(F.col(key).cast("bigint").alias("_k"), grp.alias("_g"), F.col(text).alias("_t"))
@@ -160,47 +161,57 @@ def pack_containers(
     few = counts.count() <= BROADCAST_GROUPS
     sharded = sized.join(F.broadcast(counts) if few else counts, "grp").withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("shards"))).drop("shards")
     kinds = sorted(capacities.items())
-    schema = "context_name string, container_id string, doc_id bigint, piece int, token_start int, token_end int, slot int, rest boolean"
-    columns = [c.split()[0] for c in schema.split(", ")]
+    schema = "context_name string, container_id string, doc_id bigint, piece int, token_start int, token_end int, slot int"
+    more = schema + ", grp string, rest boolean, terms binary"
+    columns = [c.split()[0] for c in more.split(", ")]
+
+    def filled(name: str, capacity: int, place: str, grp: str, items: list[tuple], index: Bm25Shard, raw: list[bytes], first: int) -> list[tuple]:
+        """Rows of the containers of items (row of the frame, doc, piece, start, end); those of a dissolved container keep their terms."""
+        out, sizes = [], [i[4] - i[3] for i in items]
+        # The index knows all documents of the shard; items are those that still need room.
+        for number, held in enumerate(fill_by_likeness(sizes, capacity, _Items(index, [i[0] for i in items])), first):
+            rest = capacity - sum(sizes[i] for i in held) > REST_SHARE * capacity
+            out += [(name, f"{place}/{number}", *items[i][1:], slot, grp, rest, raw[items[i][0]] if rest else None) for slot, i in enumerate(held)]
+        return out
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc", kind="stable")
-        doc, tokens = frame["doc"].tolist(), frame["tokens"].tolist()
-        place = f"{frame['grp'].iloc[0]}/{frame['shard'].iloc[0]}"
-        terms, tf = [], []
-        for raw in frame["terms"]:
-            n = len(raw) // 5
-            terms.append(np.frombuffer(raw, np.int32, n))
-            tf.append(np.frombuffer(raw, np.uint8, n, 4 * n))
-        index = Bm25Shard(terms, tf)
-        out = []
+        doc, tokens, raw = frame["doc"].tolist(), frame["tokens"].tolist(), frame["terms"].tolist()
+        grp = frame["grp"].iloc[0]
+        place = f"{grp}/{frame['shard'].iloc[0]}"
+        index, out = _indexed(raw), []
         for name, capacity in kinds:
-            number, items, sizes = 0, [], []
+            number, items = 0, []
             for k, size in enumerate(tokens):
                 whole = size // capacity if size > capacity else 0
                 for p in range(whole):
-                    out.append((name, f"{place}/{number}", doc[k], p, p * capacity, (p + 1) * capacity, 0, False))
+                    out.append((name, f"{place}/{number}", doc[k], p, p * capacity, (p + 1) * capacity, 0, grp, False, None))
                     number += 1
                 if size > whole * capacity:
-                    items.append((k, whole, whole * capacity, size))
-                    sizes.append(size - whole * capacity)
-            # The index knows all documents of the shard; items are those that still need room.
-            view = _Items(index, [i[0] for i in items])
-            for held in fill_by_likeness(sizes, capacity, view):
-                unused = capacity - sum(sizes[i] for i in held)
-                rest = unused > REST_SHARE * capacity
-                for slot, i in enumerate(held):
-                    k, piece, start, end = items[i]
-                    out.append((name, f"{place}/{number}", doc[k], piece, start, end, slot, rest))
-                number += 1
+                    items.append((k, doc[k], whole, whole * capacity, size))
+            out += filled(name, capacity, place, grp, items, index, raw, number)
         return pd.DataFrame(out, columns=columns)
 
-    first = materialise(sharded.groupBy("grp", "shard").applyInPandas(pack, schema), "packed")
+    first = materialise(sharded.groupBy("grp", "shard").applyInPandas(pack, more), "packed")
+    sizes_of = dict(kinds)
+
+    def pack_again(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["doc_id", "piece"], kind="stable")
+        name, grp, raw = frame["context_name"].iloc[0], frame["grp"].iloc[0], frame["terms"].tolist()
+        items = list(zip(range(len(frame)), *(frame[c].tolist() for c in ("doc_id", "piece", "token_start", "token_end"))))
+        return pd.DataFrame(filled(name, sizes_of[name], f"again/{grp}/{frame['shard'].iloc[0]}", grp, items, _indexed(raw), raw, 0), columns=columns)
+
+    # Dissolved containers are retrieved and filled once more, in new shards of their group; what is left then goes by size.
     rests = first.filter("rest")
+    spread = materialise(rests.groupBy("context_name", "grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_docs)).alias("shards")), "rest-counts")
+    spread = F.broadcast(spread) if few else spread
+    rests = rests.join(spread, ["context_name", "grp"]).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("shards"))).drop("shards")
+    second = materialise(rests.groupBy("context_name", "grp", "shard").applyInPandas(pack_again, more), "packed-again")
+
+    rests = second.filter("rest").drop("grp", "terms", "rest")
     spread = rests.groupBy("context_name").agg(F.ceil(F.count(F.lit(1)) / F.lit(rest_items)).alias("shards"))
     # One row for each capacity.
     rests = rests.join(F.broadcast(spread), "context_name").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.col("shards")))
-    sizes_of = dict(kinds)
 
     def repack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
@@ -210,10 +221,21 @@ def pack_containers(
         for n, held in enumerate(fill_by_size(sizes, sizes_of[name])):
             for s, i in enumerate(held):
                 number[i], slot[i] = f"rest/{shard}/{n}", s
-        return frame.assign(container_id=number, slot=slot)[columns[:-1]]
+        return frame.assign(container_id=number, slot=slot)[columns[:7]]
+
+    last = rests.groupBy("context_name", "shard").applyInPandas(repack, schema)
+    kept = [df.filter("not rest").select(*columns[:7]) for df in (first, second)]
+    return kept[0].unionByName(kept[1]).unionByName(last)
+
 
-    last = rests.groupBy("context_name", "shard").applyInPandas(repack, schema.rpartition(",")[0])
-    return first.filter("not rest").drop("rest").unionByName(last)
+def _indexed(raw: list[bytes]) -> Bm25Shard:
+    """Index of a shard from packed term ids and counts."""
+    terms, counts = [], []
+    for packed in raw:
+        n = len(packed) // 8
+        terms.append(np.frombuffer(packed, np.int32, n))
+        counts.append(np.frombuffer(packed, np.int32, n, 4 * n))
+    return Bm25Shard(terms, counts)
 
 
 class _Items:
