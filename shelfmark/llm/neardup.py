@@ -26,6 +26,8 @@ from shelfmark.session import materialise
 
 #: Members of one tile of a bucket.
 TILE = 512
+#: Tables of hot buckets up to this many rows are broadcast (16 bytes each).
+BROADCAST_BUCKETS = 1_000_000
 #: Up to this many pairs of members of a class, or of two linked classes, all are written out; beyond it stars.
 FULL_PAIRS = 10_000
 
@@ -39,6 +41,18 @@ def normal_text(column: Column) -> Column:
     return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
+def normal_texts(rows: DataFrame, text: str) -> DataFrame:
+    """Rows whose ``text`` is what ``normal_text`` gives, by one pass in Arrow batches; nulls and other columns stay."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [None if t is None else " ".join(t.split()) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, text, pa.array(flat, pa.string()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 class Signer:
     """Minima of character-shingle sets under ``bands * rows`` hash functions."""
 
@@ -132,15 +146,19 @@ def similar_classes(texts: DataFrame, width: int, threshold: float, bands: int,
 
     signed = materialise(texts.select("class", "text").mapInArrow(sign, "class bigint, bands array<bigint>, packed binary"), "signatures")
 
-    # Buckets: only keys that two classes share go on; a hot bucket is cut into tiles of bounded size.
-    # One exchange of the keys: counting, dropping lone keys and forming cells all use the partitioning by bucket.
+    # Buckets: counts are pre-aggregated per task, so a hot key travels as one number a task. Buckets of one tile or less
+    # are gathered whole; the members of hot ones, which alone could be unbounded, never meet in one task.
     posts = signed.select("class", F.explode("bands").alias("bucket"))
-    sized = posts.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).filter("n > 1")
-    shared = materialise(sized.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile))), "shared-buckets")
-    shared = shared.withColumn("tile", F.pmod(F.xxhash64("class", F.lit(11)), F.col("tiles")))
-    cells = shared.filter("tiles = 1").groupBy("bucket").agg(F.sort_array(F.collect_list("class")).alias("members"))
-    small = cells.select(F.explode(_pairs_in("members")).alias("p")).select("p.class_a", "p.class_b")
-    hot = shared.filter("tiles > 1").select("bucket", "tiles", "tile", "class")
+    counted = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+    large = materialise(counted.select(F.col("bucket").alias("hot"), F.ceil(F.col("n") / F.lit(tile)).alias("tiles")), "hot-buckets")
+    found = large.count()
+    near = F.broadcast(large) if found <= BROADCAST_BUCKETS else large
+    cold = posts if not found else posts.join(near, F.col("bucket") == F.col("hot"), "left_anti")
+    # One exchange: dropping lone keys and gathering the others both use the partitioning by bucket.
+    shared = cold.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket"))).filter("n > 1")
+    cells = shared.groupBy("bucket").agg(F.collect_list("class").alias("members"))
+    small = cells.select(F.explode(_pairs_in(F.sort_array("members"))).alias("p")).select("p.class_a", "p.class_b")
+    hot = posts.join(near, F.col("bucket") == F.col("hot")).withColumn("tile", F.pmod(F.xxhash64("class", F.lit(11)), F.col("tiles"))).select("bucket", "tiles", "tile", "class")
     opposite = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("other")
     hot = hot.select("bucket", "class", "tile", opposite).select("bucket", F.least("tile", "other").alias("t"), F.greatest("tile", "other").alias("u"), "class", (F.col("tile") <= F.col("other")).alias("left_side"), (F.col("tile") >= F.col("other")).alias("right_side"))
     packed_hot = hot.join(signed.select("class", "packed"), "class")
@@ -160,7 +178,7 @@ def similar_classes(texts: DataFrame, width: int, threshold: float, bands: int,
         return pd.DataFrame({"class_a": np.concatenate(out_a), "class_b": np.concatenate(out_b)}) if out_a else pd.DataFrame({"class_a": [], "class_b": []}).astype("int64")
 
     tiled = packed_hot.groupBy("bucket", "t", "u").applyInPandas(compare_tiles, "class_a bigint, class_b bigint")
-    candidates = small.unionByName(tiled).distinct()
+    candidates = (small.unionByName(tiled) if found else small).distinct()
 
     # Estimate by bit counts before any text moves.
     left, right = (signed.select(F.col("class").alias(f"class_{s}"), F.col("packed").alias(f"packed_{s}")) for s in "ab")
@@ -193,7 +211,7 @@ def similar_classes(texts: DataFrame, width: int, threshold: float, bands: int,
     return with_text.mapInArrow(exact, "class_a bigint, class_b bigint, similarity double").filter(F.col("similarity") >= threshold)
 
 
-def _pairs_in(members: str) -> Column:
+def _pairs_in(members: Column) -> Column:
     """All pairs of a sorted array of at most one tile."""
     return F.flatten(F.transform(members, lambda a: F.transform(F.filter(members, lambda b: b > a), lambda b: F.struct(a.alias("class_a"), b.alias("class_b")))))
 
@@ -210,13 +228,36 @@ def near_duplicates(records: DataFrame, key: str, text: str, group: str, width:
     * A class is a 64-bit hash of the text. Should two different texts ever meet in one, the job fails rather than
       merging them; another ``seed`` parts them.
     """
+    return expand(*classes_and_links(records, key, text, group, width, threshold, bands, rows, bits, seed))
+
+
+def class_members(records: DataFrame, key: str, text: str, group: str, width: int, threshold: float, bands: int, rows: int, bits: int = 2, seed: int = 42) -> DataFrame:
+    """(key, class_id, copies, links): one row per record, with its class of exact copies, how many keys the class has, and
+    to how many classes of different texts it is linked. With ``class_links`` this states every link without writing pairs of copies.
+
+    Defined results for odd rows are those of ``near_duplicates``; a record that takes no part has no row.
+    """
+    members, links = classes_and_links(records, key, text, group, width, threshold, bands, rows, bits, seed)
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    sizes = members.groupBy("class").agg(F.countDistinct("key").alias("copies"))
+    known = members.join(sizes, "class").join(ends, "class", "left")
+    return known.select("key", F.col("class").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def class_links(records: DataFrame, key: str, text: str, group: str, width: int, threshold: float, bands: int, rows: int, bits: int = 2, seed: int = 42) -> DataFrame:
+    """(class_a, class_b, similarity): every pair of different texts whose similarity reaches the threshold, by class."""
+    return classes_and_links(records, key, text, group, width, threshold, bands, rows, bits, seed)[1]
+
+
+def classes_and_links(records: DataFrame, key: str, text: str, group: str, width: int, threshold: float, bands: int, rows: int, bits: int = 2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Members (key, grp, class) of the classes of exact copies, and links (class_a, class_b, similarity) of classes, as written tables."""
     base = records.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(group).alias("grp")).filter("key is not null and grp is not null and text is not null and text <> ''")
     base = materialise(base.withColumn("class", F.xxhash64(F.lit(seed), "text")).withColumn("proof", F.xxhash64(F.lit(seed + 1), "text")), "records")
     # The text crosses one exchange, members travel without it. A second hash proves that a class holds one text.
     same = F.when(F.min("proof") == F.max("proof"), F.min("text")).otherwise(F.raise_error(F.lit("two texts share a class; choose another seed")))
     texts = materialise(base.groupBy("class").agg(same.alias("text")), "class-texts")
     links = materialise(similar_classes(texts, width, threshold, bands, rows, bits), "links")
-    return expand(materialise(base.select("key", "grp", "class").distinct(), "members"), links)
+    return materialise(base.select("key", "grp", "class").distinct(), "members"), links
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:

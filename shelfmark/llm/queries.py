@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.encode import encode_column
 from shelfmark.llm.language import departing_languages, dominant_language, fit, segment_languages
 from shelfmark.llm.markup import clean_markup
-from shelfmark.llm.neardup import near_duplicates, normal_text
+from shelfmark.llm.neardup import class_members, near_duplicates, normal_text
 from shelfmark.llm.packing import pack_containers
 from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
@@ -66,16 +66,44 @@ def p4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominant_language(segment_languages(docs, ["doc_id"], "text", fit(docs, "doc_id", "text", "lang")), "doc_id")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks and paths of different files that are nearly the same."""
-    chunks = table(spark, sf_dir, "chunks").select("file_id", F.concat_ws("#", "file_id", "chunk_index").alias("key"), normal_text(F.col("text")).alias("text"))
+def _p5(spark: SparkSession, sf_dir: str, operator: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """An operator of near-duplicates on chunks (of different files) and on paths of text files."""
+    chunks = table(spark, sf_dir, "chunks").select("file_id", F.concat_ws("#", "file_id", "chunk_index").alias("key"), "text")
     paths = table(spark, sf_dir, "files").filter("file_type = 'text'").select("id", "path_key")
-    by_chunk = near_duplicates(chunks, "key", "text", "file_id", width=5, threshold=0.7, bands=50, rows=6)
-    by_path = near_duplicates(paths, "id", "path_key", "id", width=3, threshold=0.8, bands=44, rows=9)
-    kinds = [df.select(F.lit(kind).alias("record_kind"), "key_a", "key_b") for kind, df in (("chunk", by_chunk), ("path", by_path))]
+    by_chunk = operator(chunks.withColumn("text", normal_text(F.col("text"))), "key", "text", "file_id", width=5, threshold=0.7, bands=50, rows=6)
+    return by_chunk, operator(paths, "id", "path_key", "id", width=3, threshold=0.8, bands=44, rows=9)
+
+
+def _kinds(by_chunk: DataFrame, by_path: DataFrame, *columns: str) -> DataFrame:
+    kinds = [df.select(F.lit(kind).alias("record_kind"), *columns) for kind, df in (("chunk", by_chunk), ("path", by_path))]
     return kinds[0].unionByName(kinds[1])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and paths of different files that are nearly the same."""
+    return _kinds(*_p5(spark, sf_dir, near_duplicates), "key_a", "key_b")
+
+
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk and path with its class of exact copies and the number of classes it is linked to."""
+    return _kinds(*_p5(spark, sf_dir, class_members), "key", "class_id", "copies", "links")
+
+
+P5_SQL = """
+WITH t AS (
+  SELECT DISTINCT 'chunk' AS kind, 5 AS w, 0.7 AS least, file_id AS grp, file_id || '#' || chunk_index AS key,
+         trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS text FROM chunks
+  UNION SELECT DISTINCT 'path', 3, 0.8, id, id, path_key FROM files WHERE file_type = 'text'),
+ok AS (SELECT *, row_number() OVER () AS n FROM t WHERE text <> '' AND key IS NOT NULL),
+s AS (SELECT DISTINCT kind, n, unnest(list_transform(range(1, greatest(length(text) - w + 1, 1) + 1), lambda i: array_slice(text, i, i + w - 1))) AS g FROM ok),
+size AS (SELECT n, count(*) AS c FROM s GROUP BY n),
+common AS (SELECT a.n AS na, b.n AS nb, count(*) AS c FROM s a JOIN s b ON a.kind = b.kind AND a.g = b.g AND a.n < b.n GROUP BY ALL)
+SELECT DISTINCT x.kind AS record_kind, least(x.key, y.key) AS key_a, greatest(x.key, y.key) AS key_b
+FROM common JOIN size p ON p.n = na JOIN size q ON q.n = nb JOIN ok x ON x.n = na JOIN ok y ON y.n = nb
+WHERE x.grp <> y.grp AND common.c >= x.least * (p.c + q.c - common.c)
+"""
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with leftover markup, with the role the markup gives them."""
     return clean_markup(table(spark, sf_dir, "blocks"), "block_id", "text", "block_type").filter("had_markup").select("block_id", "block_type")
@@ -98,8 +126,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_members": p5_members, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_SQL}
+    return {"p3_found": P3_SQL, "p5_found": P5_SQL}
