@@ -20,7 +20,8 @@ from shelfmark.operators.chunking import chunk_blocks, chunk_document, split_sen
 from shelfmark.operators.filters import Condition, MetadataQuery, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker
 from shelfmark.operators.timestamps import normalise_timestamps, parser_of, utc_micros, zone_table
-from shelfmark.plans.requests import day_boundary, interactive_request, structured_request
+from shelfmark.plans.fields import day_edge
+from shelfmark.plans.requests import interactive_request, structured_request
 from shelfmark.sources.media import audio_metadata, decode_wav, image_metadata, media_metadata
 
 # ---- change tracking --------------------------------------------------------------------------
@@ -253,7 +254,7 @@ def test_large_duplicate_group_is_whole(spark):
 
 
 def test_requests(tmp_path):
-    assert day_boundary("2024-05-06", True).time() == dt.time.max and day_boundary("2024-05-06", False).time() == dt.time.min
+    assert day_edge("modified-before", "2024-05-06").time() == dt.time.max and day_edge("modified-after", "2024-05-06").time() == dt.time.min
     assert structured_request(text=" cat ", file_format="jpg").target == "image"
     for fields, message in (
         ({"text": "x"}, "file type is required"), ({}, "is required"), ({"text": "x", "target": "audio", "file_format": "png"}, "is image, not audio"), ({"text": "x", "target": "image", "min_resolution": "9x9", "max_resolution": "5x9"}, "cannot exceed"),
