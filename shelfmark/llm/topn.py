@@ -58,10 +58,13 @@ def top_n_per_group(
     near = F.broadcast if found <= BROADCAST_GROUPS else (lambda df: df)
     light_top = _top(base.join(near(heavy), base["_g"].eqNullSafe(heavy["_hg"]), "left_anti"), ["_g"], items, n)
 
+    # One row an item first, pre-aggregated in every task: an item repeated without bound is then one row too.
     hot = base.join(near(heavy), base["_g"].eqNullSafe(heavy["_hg"]), "inner").drop("_hg")
+    hot = hot.groupBy("_g", "_n", *items).agg(F.min(F.struct((-F.col("_s")).alias("a"), F.col("_r").alias("r"))).alias("_b"))
+    hot = materialise(hot.select("_g", "_n", *items, (-F.col("_b.a")).alias("_s"), F.col("_b.r").alias("_r")), "heavy-items")
     edges = hot.groupBy("_g", "_n").agg(F.percentile_approx("_s", [k / RANGES for k in range(1, RANGES)], 1000).alias("_edges"))
-    edges = materialise(edges.withColumnsRenamed({"_g": "_hg", "_n": "_m"}), "heavy-edges")
-    hot = base.join(near(edges), base["_g"].eqNullSafe(edges["_hg"]), "inner")
+    edges = materialise(edges.select(F.col("_g").alias("_hg"), F.col("_n").alias("_m"), "_edges"), "heavy-edges")
+    hot = hot.drop("_n").join(near(edges), hot["_g"].eqNullSafe(edges["_hg"]), "inner")
     reach = F.size(F.filter("_edges", lambda e: e <= F.col("_s")))
     salt = F.pmod(F.xxhash64(*items), F.ceil(F.col("_m") / F.lit(RANGES * slice_rows)))
     hot = hot.select("_g", *items, "_s", "_r", reach.alias("_range"), salt.alias("_salt"))
