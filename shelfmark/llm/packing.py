@@ -117,11 +117,11 @@ def fill_by_size(sizes: list[int], capacity: int) -> list[list[int]]:
 def sized_terms(docs: DataFrame, key: str, text: str, group: str | None, tokenizer: str, folder: str) -> DataFrame:
     """(doc BIGINT, grp STRING, tokens INT, terms BINARY): size in tokens, and distinct token ids with their counts, of whole texts."""
     rows = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    version, path, packed = build_lexicon(rows, text, tokenizer, folder)
+    place = build_lexicon(rows, text, tokenizer, folder)
     grp = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_mapped(version, path, packed), folder, tokenizer)
+        encoder = Encoder(_mapped(place), folder, tokenizer)
         for batch in batches:
             for part in _bounded(batch):
                 ids, offsets = encoder.encode(part.column(2).to_pylist())
