@@ -92,8 +92,7 @@ def similar_vectors(
     dims: int = 64,
     min_cosine: float | None = None,
     queries: Column | None = None,
-    length: int = 10,
-    rerank: int | None = None,
+    length: int = 16,
     list_rows: int = LIST_ROWS,
     tile_rows: int = TILE_ROWS,
     per_pivot: int = PER_PIVOT,
@@ -104,7 +103,6 @@ def similar_vectors(
     * Equal cosines (to nine decimals) go to the smaller key. Equal vectors are found exactly. A row repeated with its key counts once.
     * ``min_cosine`` drops less similar pairs early; ``queries`` is a condition on ``key`` for the vectors that ask (all by default).
     * ``length``: pivots a vector is posted under, more of them where there are more than ``LENGTH_PIVOTS`` pivots.
-    * ``rerank`` is accepted for callers of old and has no effect: inverted files are compared whole.
     * Fewer vectors than ``k`` give fewer rows, an empty table none. Extra columns are ignored.
     """
     spark = vectors.sparkSession

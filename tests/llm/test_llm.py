@@ -48,7 +48,7 @@ def test_vectors_against_brute_force(spark):
     want = brute_neighbours(rows, 5)
     for options in ({}, {"list_rows": 60, "tile_rows": 20}, {"list_rows": 10, "tile_rows": 7}):
         got = {}
-        for r in similar_vectors(df, "vec_id", "vector_name", "vectors", 5, dims=4, length=16, rerank=400, **options).orderBy("vec_id", "rank").collect():
+        for r in similar_vectors(df, "vec_id", "vector_name", "vectors", 5, dims=4, length=16, **options).orderBy("vec_id", "rank").collect():
             got.setdefault(r.vec_id, []).append(r.neighbour_id)
         assert set(got) <= set(want) and not set(got) & set(range(400, 407)) - {405}
         right = sum(len(set(got.get(i, [])) & set(w)) for i, w in want.items()) / sum(map(len, want.values()))
@@ -343,6 +343,15 @@ def test_lexicon_is_exact_and_minimal(tmp_path):
     assert Lexicon.build({}).index([b"a"]).tolist() == [-1]
 
 
+def test_lexicon_without_a_mounted_folder(spark):
+    from shelfmark.llm.encode import _mapped, _place
+
+    place = _place(spark, Lexicon.build({b"ab": [1, 2], b"cb": [3]}).pack(), mounted=False)
+    assert not place.startswith("/")
+    found = spark.range(4).repartition(2).rdd.map(lambda _: _mapped(place).index([b"ab", b"cb", b"c"]).tolist()).collect()
+    assert found == [[0, 1, -1]] * 4
+
+
 def test_encoding_equals_the_tokenizer(spark):
     odd = [None, "", " ", "\n\n", "<|endoftext|> x", "na\u0308ive é 中文字 ไทย 🙂", "a" * 30_000, "  x\u00a0 y  ", "it's we'll I'D", "\ud7ff\x00\x01", "12345678901234567890"]
     rows = [(k, t, 1) for k, t in enumerate(odd)] + [(99, "again", 1), (99, "again", 1)]
