@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 # ---- zone transition tables -------------------------------------------------------------------
 
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Transitions are tabled between these years; before the first a zone has one offset, after the last its rules repeat.
+FIRST_YEAR, LAST_YEAR = 1800, 2100
 _EPOCH = dt.datetime(1970, 1, 1)
+#: Seconds of 400 years, after which dates, weekdays and so clock changes recur.
+CYCLE = 146_097 * 86_400
 
 
 def zone_database_version() -> str:
@@ -44,8 +47,8 @@ def zone_database_version() -> str:
         return "unknown"
 
 
-@lru_cache(maxsize=1024)
-def zone_table(name: str) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2048)
+def zone_table(name: str, first: int = FIRST_YEAR, last: int = LAST_YEAR) -> tuple[np.ndarray, np.ndarray]:
     """(local thresholds, offsets) in seconds: offsets[searchsorted(thresholds, local, 'right')] turns local into UTC.
 
     The threshold of a transition is the later of its two local readings. So a skipped local time still
@@ -57,7 +60,7 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray]:
         moment = dt.datetime.fromtimestamp(at, dt.timezone.utc).astimezone(zone)
         return int(moment.utcoffset().total_seconds())
 
-    start, end = (int((dt.datetime(y, 1, 1) - _EPOCH).total_seconds()) for y in (FIRST_YEAR, LAST_YEAR))
+    start, end = (int((dt.datetime(y, 1, 1) - _EPOCH).total_seconds()) for y in (first, last))
     thresholds, offsets = [], [offset(start)]
     low, week = start, 7 * 86400
     while low < end:
@@ -77,6 +80,19 @@ def zone_table(name: str) -> tuple[np.ndarray, np.ndarray]:
     return np.array(thresholds, dtype=np.int64), np.array(offsets, dtype=np.int64)
 
 
+def zone_offsets(name: str, local: np.ndarray) -> np.ndarray:
+    """Offset from UTC in seconds of local times (seconds since 1970) of any year."""
+    late = local >= (dt.datetime(LAST_YEAR, 1, 1) - _EPOCH).days * 86_400
+    thresholds, offsets = zone_table(name)
+    out = offsets[np.searchsorted(thresholds, local, side="right")]
+    if late.any():
+        # One cycle after the last year stands for all that follow; the table begins and ends a year outside of it.
+        begin = (dt.datetime(LAST_YEAR, 1, 1) - _EPOCH).days * 86_400
+        thresholds, offsets = zone_table(name, LAST_YEAR - 1, LAST_YEAR + 401)
+        out = np.where(late, offsets[np.searchsorted(thresholds, begin + (local - begin) % CYCLE, side="right")], out)
+    return out
+
+
 # ---- parsers by mask --------------------------------------------------------------------------
 
 # English month names, offsets in minutes of common zone abbreviations.
@@ -100,10 +116,11 @@ SHAPES = [
     rf"(?P<A>9{{1,2}})/(?P<B>9{{1,2}})/(?P<Y>9999)(?:,?[ ]+{_TIME}{_TAIL})?",
     rf"(?:(?P<w>a{{3,9}}),? +)?(?P<D>9{{1,2}})(?P<sep>[ -])(?P<N>a{{3,9}})\.?(?P=sep)(?P<Y>9999)(?:,?[ ]+{_TIME}{_TAIL})?",
     rf"(?:(?P<w>a{{3,9}}),? +)?(?P<N>a{{3,9}})\.? +(?P<D>9{{1,2}})(?:aa)?,? +(?P<Y>9999)(?:,?[ ]+(?:aa )?{_TIME}{_TAIL})?",
+    r"(?P<w>aaa) (?P<N>aaa) +(?P<D>9{1,2}) (?P<Y>9999) (?P<h>99):(?P<m>99):(?P<s>99) (?P<g>aaa)(?P<z>[+-]9999)",
     r"(?P<w>aaa) (?P<N>aaa) +(?P<D>9{1,2}) (?P<h>99):(?P<m>99):(?P<s>99)(?: (?P<z>a{1,5}))? (?P<Y>9999)",
 ]
 #: Microseconds in one unit of an epoch count, by number of digits.
-EPOCH_UNIT = {9: 1_000_000, 10: 1_000_000, 13: 1_000, 16: 1, 19: 0.001}
+EPOCH_UNIT = {9: 1_000_000, 10: 1_000_000, 13: 1_000, 16: 1}
 
 
 @lru_cache(maxsize=65536)
@@ -116,9 +133,10 @@ def parser_of(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+REMARK = re.compile(r"(?<=[+-]\d{4})\s+\([^()]*\)$")
 _MASK = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
-#: Longer strings state no time; this bounds the masks that can be cached.
-LONGEST = 64
+#: Masks of longer strings are parsed without being cached.
+LONGEST_CACHED = 96
 
 
 def _words(matrix: np.ndarray, span: tuple[int, int], table: dict[str, int]) -> np.ndarray:
@@ -149,8 +167,10 @@ def _parse_group(texts: list[str], zones: list[str | None], spans: dict[str, tup
 
     if "e" in spans:
         width = spans["e"][1] - spans["e"][0]
-        count, unit = number("e"), EPOCH_UNIT[width]
-        return (count // 1000 if unit < 1 else count * int(unit)), np.ones(n, dtype=bool)
+        if width < 19:
+            return number("e") * EPOCH_UNIT[width], np.ones(n, dtype=bool)
+        # Nanoseconds: what no signed 64-bit clock can count states no time.
+        return np.array([int(t[:16]) for t in texts], dtype=np.int64), np.array([int(t) < 2**63 for t in texts])
 
     ok = np.ones(n, dtype=bool)
     if "A" in spans:
@@ -163,6 +183,8 @@ def _parse_group(texts: list[str], zones: list[str | None], spans: dict[str, tup
     year, hour = number("Y"), number("h")
     if "w" in spans:
         ok &= _words(matrix, spans["w"], dict.fromkeys(WEEKDAYS, 1)) == 1
+    if "g" in spans:
+        ok &= _words(matrix, spans["g"], {"gmt": 1, "utc": 1}) == 1
     if "d" in spans:
         ok &= _words(matrix, spans["d"], {"d": 1}) == 1
     if "t" in spans and "h" in spans and not matrix[0, spans["t"][0]].isspace():
@@ -206,11 +228,10 @@ def _parse_group(texts: list[str], zones: list[str | None], spans: dict[str, tup
         for name in set(names[open_]):
             mine = open_ & (names == name)
             try:
-                thresholds, offsets = zone_table(name)
+                offset[mine] = zone_offsets(name, local[mine])
             except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
                 ok &= ~mine
                 continue
-            offset[mine] = offsets[np.searchsorted(thresholds, local[mine], side="right")]
     return (local - offset) * 1_000_000 + micros, ok
 
 
@@ -220,11 +241,12 @@ def utc_micros(values: list[str | None], zones: list[str | None]) -> list[int |
     groups: dict[str, list[int]] = {}
     trimmed: list[str] = [""] * len(values)
     for k, value in enumerate(values):
-        if value and (text := value.strip()) and len(text) <= LONGEST:
-            trimmed[k] = text
+        if value and (text := value.strip()):
+            # A remark in brackets behind a time names its zone once more.
+            trimmed[k] = text = REMARK.sub("", text) if text[-1] == ")" else text
             groups.setdefault(text.translate(_MASK), []).append(k)
     for mask, rows in groups.items():
-        spans = parser_of(mask)
+        spans = (parser_of if len(mask) <= LONGEST_CACHED else parser_of.__wrapped__)(mask)
         if spans is None:
             continue
         micros, ok = _parse_group([trimmed[k] for k in rows], [zones[k] for k in rows], spans)
@@ -237,7 +259,7 @@ def utc_micros(values: list[str | None], zones: list[str | None]) -> list[int |
 def normalise_timestamps(rows: DataFrame, key: str, columns: list[str], zone: str) -> DataFrame:
     """One row per key and column: (key, field_name, utc_us BIGINT, zone_version STRING).
 
-    * ``utc_us`` is null where the raw value is null, blank, longer than 64 characters or states no valid time,
+    * ``utc_us`` is null where the raw value is null, blank or states no valid time,
       or where it needs a zone and ``zone`` names none that exists.
     * Values without a zone are local to ``zone``, or UTC if that's null. Skipped local times move forward by the
       length of the gap, repeated ones mean the first pass. Digits below microseconds are cut.

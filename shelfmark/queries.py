@@ -51,6 +51,26 @@ SELECT s.id, s.h AS content_hash FROM newest_s s LEFT JOIN newest_e e ON s.id =
 """
 
 
+def p2_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files after an increment over the earlier half of the commits, one that dies before it is published, and one over the rest."""
+    scans, files, runs = (table(spark, sf_dir, t) for t in ("scans", "files", "index_runs"))
+    half = scans.agg(F.percentile_approx("arrived_at", 0.5)).first()[0]
+    root = scratch_path(spark, "changes")
+    tracker = ChangeTracker(spark, root)
+    tracker.advance(scans.filter(F.col("arrived_at") <= F.lit(half)), files, runs.filter(F.col("finished_at") <= F.lit(half)))
+    dying = ChangeTracker(spark, root)
+
+    def die(_) -> None:
+        raise InterruptedError
+
+    dying.log.publish = die
+    try:
+        dying.advance(scans, files, runs)
+    except InterruptedError:
+        pass
+    return tracker.pending(tracker.advance(scans, files, runs))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One UTC instant for every raw timestamp that states a valid time."""
     columns = ["created_at", "content_modified_at", "modified_at"]
@@ -60,8 +80,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- identity and scalar functions ------------------------------------------------------------
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p7_found": p7_found}
-SQL: dict[str, str] = {"p2_found": P2_SQL}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_increments": p2_increments, "p7_found": p7_found}
+SQL: dict[str, str] = {"p2_found": P2_SQL, "p2_increments": P2_SQL}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import sys
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,8 +33,8 @@ def build_session(app_name: str = "shelfmark", master: str | None = None, **conf
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) a folder of our own is chosen,
-    which is right for a single machine only.
+    Only where that setting is missing and the session runs on one machine (tests, a laptop) a folder of our own is chosen;
+    on a cluster a missing setting is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -40,14 +44,42 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     own = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+#: Paths of intermediate tables that the sessions of this process wrote, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is written there is deleted by ``release`` or when the process ends."""
+    path = f"{shared_dir(spark)}/shelfmark/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_release_all)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application; call it once their results are written. Returns how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
+def _release_all() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception as error:
+        print(f"intermediate tables were left: {error}", file=sys.stderr)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -56,3 +88,38 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def publish_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a whole file at ``path`` in one step; false, and nothing changed, where it exists already.
+
+    On a mounted folder a finished draft is linked to its name, elsewhere it is renamed without overwriting; both are atomic,
+    so that of two writers exactly one wins.
+    """
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent().getParent(), f"_draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    fs.mkdirs(target.getParent())
+    try:
+        if fs.getScheme() == "file":
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(draft), fs.makeQualified(target), none)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)

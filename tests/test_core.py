@@ -19,7 +19,7 @@ from shelfmark.operators import search as S
 from shelfmark.operators.chunking import chunk_blocks, chunk_document, split_sentences
 from shelfmark.operators.filters import Condition, MetadataQuery, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker
-from shelfmark.operators.timestamps import normalise_timestamps, parser_of, utc_micros, zone_table
+from shelfmark.operators.timestamps import normalise_timestamps, parser_of, utc_micros, zone_offsets, zone_table
 from shelfmark.plans.fields import day_edge
 from shelfmark.plans.requests import interactive_request, structured_request
 from shelfmark.sources.media import audio_metadata, decode_wav, image_metadata, media_metadata
@@ -60,6 +60,18 @@ def test_change_tracker(spark, tmp_path):
     runs += [(4, "succeeded", at(6))]
     tracker.advance(*tables(spark, scans, files, runs))
     assert state() == {"d": "dd", "e": "ee"}
+    # Only what the increment touched: 'd' waits since the first one.
+    assert {r.id for r in tracker.changed().collect()} == {"e"}
+
+
+def test_change_tracker_merges_its_deltas(spark, tmp_path):
+    tracker = ChangeTracker(spark, f"file://{tmp_path}/log", compact_after=2)
+    scans, parts = [], []
+    for k in range(6):
+        scans.append((k, f"f{k % 4}", f"{k}", at(k + 1), at(k + 1)))
+        parts.append(len(tracker.advance(*tables(spark, scans, [("f1", "1", at(9), 1)], [(1, "succeeded", at(9))])).parts))
+    assert parts == [1, 2, 3, 1, 2, 3]
+    assert {r.id: r.content_hash for r in tracker.pending().collect()} == {"f0": "4", "f1": "5", "f2": "2", "f3": "3"}
 
 
 def test_change_tracker_survives_a_crash(spark, tmp_path, monkeypatch):
@@ -90,6 +102,8 @@ CASES = [
     ("19 November 2018", "Asia/Kolkata", "2018-11-18 18:30:00"), ("2021-05-07 11:24:43 CEST", "Europe/Berlin", "2021-05-07 09:24:43"), ("2023-12-26 00:52:37 PST", None, "2023-12-26 08:52:37"), ("2023-04-30T07:57:34.363828444Z", None, "2023-04-30 07:57:34.363828"), ("  2022-01-09T16:10:10 ", "UTC", "2022-01-09 16:10:10"),
     ("2022:08:17 17:09:51", "Europe/Berlin", "2022-08-17 15:09:51"), ("1.7.2018 22:02:44", None, "2018-07-01 22:02:44"), ("2019-07-20", "Europe/Istanbul", "2019-07-19 21:00:00"), ("2023-02-27 09:00:56.930+0000", "x", "2023-02-27 09:00:56.930"), ("2024-02-29", None, "2024-02-29 00:00:00"),
     ("2023-02-29", None, None), ("0000-00-00 00:00:00", None, None), ("2021-13-45", None, None), ("yesterday", None, None), ("", None, None), (None, None, None), ("-", None, None), ("2020-01-01 00:00", "Nowhere/Land", None), ("2020-01-01 24:00", None, None), ("x" * 100, None, None), ("11/02/2019 13:07 PM", None, None), ("2020-01-01 00:00:00 XYZ", None, None),
+    ("2150-07-01 12:00:00", "America/New_York", "2150-07-01 16:00:00"), ("9150-01-01 12:00:00", "America/New_York", "9150-01-01 17:00:00"), ("1850-01-01 00:00:00", "Europe/Berlin", "1849-12-31 23:06:32"), ("1602481245506563999", None, "2020-10-12 05:40:45.506563"), ("9999999999999999999", None, None),
+    ("Thu Nov 26 2026 14:12:00 GMT+0100 (Central European Standard Time, as the machine calls it)", "Asia/Tokyo", "2026-11-26 13:12:00"), ("Thu Nov 26 2026 14:12:00 XYZ+0100", None, None), ("2020-01-01 00:00" + " " * 100, None, "2020-01-01 00:00:00"),
 ]
 
 
@@ -110,6 +124,15 @@ def test_zone_tables_agree_with_the_database():
             assert offsets[np.searchsorted(thresholds, second, side="right")] == local.replace(tzinfo=zone).utcoffset().total_seconds(), (name, local)
 
 
+def test_offsets_of_late_years():
+    rng = np.random.default_rng(2)
+    begin, end = ((dt.datetime(y, 1, 1) - dt.datetime(1970, 1, 1)).days * 86400 for y in (2090, 9999))
+    for name in ("America/New_York", "Australia/Sydney", "Africa/Casablanca", "Asia/Tokyo"):
+        local = rng.integers(begin, end, 300)
+        want = [(dt.datetime(1970, 1, 1) + dt.timedelta(seconds=s)).replace(tzinfo=zoneinfo.ZoneInfo(name)).utcoffset().total_seconds() for s in local.tolist()]
+        assert zone_offsets(name, local).tolist() == want, name
+
+
 def test_timestamp_table(spark):
     rows = [(1, "2020-01-01", None, "UTC"), (1, "2020-01-01", None, "UTC"), (2, None, "x", None)]
     df = spark.createDataFrame(rows, "meta_id bigint, a string, b string, zone_id string").withColumn("utc_us", F.lit("clash"))
