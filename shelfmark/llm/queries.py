@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.encode import encode_column
 from shelfmark.llm.language import departing_languages, dominant_language, fit, segment_languages
 from shelfmark.llm.markup import clean_markup
-from shelfmark.llm.neardup import class_members, near_duplicates, normal_text
+from shelfmark.llm.neardup import class_members, near_duplicates, normal_texts
 from shelfmark.llm.packing import pack_containers
 from shelfmark.llm.sentences import split_sentences
 from shelfmark.llm.topn import top_n_per_group
@@ -79,7 +79,7 @@ def _p5(spark: SparkSession, sf_dir: str, operator: Callable[..., DataFrame]) ->
     """An operator of near-duplicates on chunks (of different files) and on paths of text files."""
     chunks = table(spark, sf_dir, "chunks").select("file_id", F.concat_ws("#", "file_id", "chunk_index").alias("key"), "text")
     paths = table(spark, sf_dir, "files").filter("file_type = 'text'").select("id", "path_key")
-    by_chunk = operator(chunks.withColumn("text", normal_text(F.col("text"))), "key", "text", "file_id", width=5, threshold=0.7, bands=50, rows=6)
+    by_chunk = operator(normal_texts(chunks, "text"), "key", "text", "file_id", width=5, threshold=0.7, bands=50, rows=6)
     return by_chunk, operator(paths, "id", "path_key", "id", width=3, threshold=0.8, bands=44, rows=9)
 
 
