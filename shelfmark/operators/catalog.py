@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ranking import rank_within
+
 
 def classify_changes(discovered: DataFrame, existing: DataFrame, key: str = "path_key", content: str = "content_hash") -> DataFrame:
     """Discovered rows with ``change``: new, updated, unchanged, or failed where no hash could be read. Left outer join on the key."""
@@ -23,9 +24,9 @@ def change_counters(classified: DataFrame, by: str = "file_type") -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Newest row of each key; the columns of ``order`` decide, larger first, nulls last."""
-    w = W.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """Newest row of each key; the columns of ``order`` decide, larger first, nulls last. Partial maxima keep a hot key to one row a task."""
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order)).alias("_row"))
+    return newest.select("_row.*")
 
 
 def duplicate_groups(files: DataFrame, content: str = "content_hash", member: str = "path_key", most: int | None = None) -> DataFrame:
@@ -43,7 +44,7 @@ def duplicate_members(files: DataFrame, content: str = "content_hash", member: s
     """(content_hash, member, copies, position) of every file whose content another one holds."""
     slim = files.filter(F.col(content).isNotNull()).select(content, member).distinct()
     many = slim.groupBy(content).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    return slim.join(many, content).withColumn("position", F.row_number().over(W.partitionBy(content).orderBy(member)))
+    return rank_within(slim.join(many, content), [content], [F.col(member)], "position")
 
 
 def lookup(files: DataFrame, wanted: DataFrame, key: str = "id", order: str = "position") -> DataFrame:

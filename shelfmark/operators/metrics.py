@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.ranking import HOT_ROWS, largest_group, percentiles
+
 
 def cutoffs(values: list[int]) -> list[int]:
     """Positive, unique and sorted cutoffs; anything else is an error."""
@@ -64,29 +68,51 @@ def macro(scores: DataFrame, kind: str, official: list[str]) -> DataFrame:
     return means.groupBy("k").agg(F.when(count > 0, count).otherwise(F.count(F.lit(1))).alias("types"), *[pick(m) for m in METRICS])
 
 
+def _with_percentiles(rows: DataFrame, value: str, by: list[str], shares: dict[str, float], *aggregates: Column) -> DataFrame:
+    """Aggregates by group with exact percentiles beside them, whatever the size of the largest group."""
+    if not by or largest_group(rows, by) <= HOT_ROWS:
+        plain = [F.percentile(value, share).alias(name) for name, share in shares.items()]
+        if by or rows.count() <= HOT_ROWS:
+            return rows.groupBy(*by).agg(*aggregates, *plain)
+        keyed, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
+    else:
+        keyed, keys = rows, by
+    summed = keyed.groupBy(*keys).agg(*aggregates)
+    cut = percentiles(keyed, value, keys, shares)
+    cut = cut.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *shares)
+    same = [summed[c].eqNullSafe(cut[f"_k{i}"]) for i, c in enumerate(keys)]
+    return summed.join(cut, reduce(lambda a, b: a & b, same)).drop("_all", *[f"_k{i}" for i in range(len(keys))])
+
+
 def latency(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(n, mean, p95, p99) with linear interpolation."""
-    p = lambda q: F.percentile(value, q)
-    return rows.filter(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    known = rows.filter(F.col(value).isNotNull())
+    return _with_percentiles(known, value, by or [], {"p95": 0.95, "p99": 0.99}, F.count(value).alias("n"), F.avg(value).alias("mean")).select(*(by or []), "n", "mean", "p95", "p99")
 
 
 def benchmark_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by).agg(F.min(value).alias("low"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("high"))
-
-
-def stage_profile(events: DataFrame, stage: str, duration: str, items: str, errors: Column) -> DataFrame:
-    """Calls, items, times, share of the longest stage total, rate and errors of each stage."""
-    stages = events.groupBy(stage).agg(
-        F.count(F.lit(1)).alias("calls"), F.sum(items).alias("items"), F.sum(duration).alias("total"), F.median(duration).alias("median"),
-        F.percentile(duration, 0.95).alias("p95"), F.max(duration).alias("longest"), F.sum(F.when(errors, 1).otherwise(0)).alias("errors"),
+    """(low, mean, median, p95, high) of measured runs."""
+    out = _with_percentiles(rows, value, by, {"median": 0.5, "p95": 0.95}, F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
+    return out.select(*by, "low", "mean", "median", "p95", "high")
+
+
+def stage_profile(events: DataFrame, stage: str, duration: str, items: str, errors: Column, size: str | None = None, cpu: str | None = None) -> DataFrame:
+    """Calls, items, times, share of the longest stage total, rate and errors of each stage; bytes and CPU time where they are measured."""
+    more = [F.sum(size).alias("bytes")] if size else []
+    more += [F.sum(cpu).alias("cpu")] if cpu else []
+    stages = _with_percentiles(
+        events, duration, [stage], {"median": 0.5, "p95": 0.95}, F.count(F.lit(1)).alias("calls"), F.sum(items).alias("items"), F.sum(duration).alias("total"),
+        F.max(duration).alias("longest"), F.sum(F.when(errors, 1).otherwise(0)).alias("errors"), *more,
     )
     whole = stages.agg(F.max("total").alias("whole"))
-    return stages.crossJoin(F.broadcast(whole)).withColumn("share", F.when(F.col("whole") > 0, F.col("total") / F.col("whole"))).withColumn("rate", F.when(F.col("total") > 0, F.col("items") / F.col("total"))).drop("whole")
+    shared = stages.crossJoin(F.broadcast(whole)).withColumn("share", F.when(F.col("whole") > 0, F.col("total") / F.col("whole"))).withColumn("rate", F.when(F.col("total") > 0, F.col("items") / F.col("total")))
+    return shared.select(stage, "calls", "items", "total", "median", "p95", "longest", "errors", *(["bytes"] if size else []), *(["cpu"] if cpu else []), "share", "rate")
 
 
 def resource_summary(samples: DataFrame, at: str, value: str, by: list[str]) -> DataFrame:
     """Average, p95 and peak of a sampled value, its change from first to last sample, and the share of samples in which it was active."""
-    return samples.groupBy(*by).agg(
-        F.avg(value).alias("average"), F.percentile(value, 0.95).alias("p95"), F.max(value).alias("peak"),
+    out = _with_percentiles(
+        samples, value, by, {"p95": 0.95}, F.avg(value).alias("average"), F.max(value).alias("peak"),
         (F.max_by(value, at) - F.min_by(value, at)).alias("change"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("active"),
     )
+    return out.select(*by, "average", "p95", "peak", "change", "active")

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import vectors as V
 from shelfmark.operators.filters import Predicate, apply_predicate
+from shelfmark.operators.ranking import rank_within
+from shelfmark.session import materialise
 
 #: Hits fetched per wanted group, which bounds what grouping can see.
 GROUP_OVERFETCH = 5
+#: Query vectors that are broadcast at once (8,192 of 512 numbers are 32 MB).
+QUERY_BLOCK = 8192
 #: Limits where none is given: command line, repository search, metadata search, file search.
 DEFAULT_LIMITS = {"cli": 20, "search": 10, "metadata": 100, "files": 50}
 
@@ -40,27 +44,29 @@ def top_k(rows: DataFrame, vector: str, query: Sequence[float], limit: int, metr
     return scored.orderBy(_better(metric, F.col("score")), *[F.col(k).asc() for k in keys]).limit(limit)
 
 
-def multi_vector_top_k(rows: DataFrame, vector: str, queries: Sequence[Sequence[float]], limit: int, predicate: Predicate | None = None, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Best score of a row over several query vectors, then the ``limit`` best rows.
+def multi_vector_top_k(rows: DataFrame, vector: str, queries: Sequence[Sequence[float]], limit: int, predicate: Predicate | None = None, keys: Sequence[str] = ("id",), metric: str = "cosine") -> DataFrame:
+    """Best score of a row over several query vectors, then the ``limit`` best rows; the best distance is the smallest.
 
-    Merging the top lists of all query vectors by maximum gives the same rows as one pass with the maximum per row; the pass
+    Merging the top lists of all query vectors gives the same rows as one pass with the best score per row; the pass
     needs no window and no exchange but the last sort.
     """
     _checked(limit)
-    if not queries:
+    if not len(queries):
         raise ValueError("at least one query vector is needed")
+    if len({len(q) for q in queries}) > 1:
+        raise ValueError("query vectors must be of one size")
     fit = apply_predicate(rows, predicate).filter(F.col(vector).isNotNull() & (F.size(vector) == len(queries[0])))
-    scores = [V.score("cosine", F.col(vector), F.array(*[F.lit(float(x)) for x in q])) for q in queries]
-    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-    return fit.withColumn("score", best).drop(vector).orderBy(F.col("score").desc(), *[F.col(k).asc() for k in keys]).limit(limit)
+    scores = [V.score(metric, F.col(vector), F.array(*[F.lit(float(x)) for x in q])) for q in queries]
+    best = scores[0] if len(scores) == 1 else (F.greatest if V.METRICS[metric] else F.least)(*scores)
+    return fit.withColumn("score", best).drop(vector).orderBy(_better(metric, F.col("score")), *[F.col(k).asc() for k in keys]).limit(limit)
 
 
 def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, limit: int, space: str | None = None, digits: int = 9, metric: str = "cosine", predicate: Predicate | None = None) -> DataFrame:
     """(query_key, key, score, rank): a stated set of queries against all rows, exact; scores equal to ``digits`` decimals go to the smaller key.
 
     A query key that is repeated asks with several vectors, of which the best score of a row counts. The filter runs before
-    the scoring. The queries travel to the rows in blocks of matrices inside one Arrow stage; of each block only the ``limit`` best rows
-    per task and query leave it, so the exchange carries ids and scores alone.
+    the scoring. Up to ``QUERY_BLOCK`` query vectors travel to the rows as matrices inside one Arrow stage, and more of them block by
+    block; only the ``limit`` best rows per task and query leave a stage, so the exchange carries ids and scores alone.
     """
     import numpy as np
     import pyarrow as pa
@@ -69,8 +75,23 @@ def batch_top_k(rows: DataFrame, key: str, vector: str, queries: DataFrame, quer
     _checked(limit)
     larger = V.METRICS[metric]
     rows = apply_predicate(rows, predicate)
+    asked = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"), (F.col(space) if space else F.lit("")).alias("s")).filter("v is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    if blocks > 1:
+        # Blocks of queries one after another, each with a pass over the rows; the vectors of one query may be in several.
+        numbered = materialise(asked.withColumn("block", F.pmod(F.xxhash64("q", "v"), F.lit(blocks))), "queries")
+        names = {"q": query_key, "v": query_vector} | ({"s": space} if space else {})
+        best = None
+        for block in range(blocks):
+            mine = numbered.filter(F.col("block") == block).select(*[F.col(k).alias(n) for k, n in names.items()])
+            part = materialise(batch_top_k(rows, key, vector, mine, query_key, query_vector, limit, space, digits, metric), "query-block") if mine.count() <= 2 * QUERY_BLOCK else None
+            if part is None:
+                raise RuntimeError("one query asks with more vectors of one value than a block holds")
+            best = part if best is None else best.unionByName(part)
+        merged = best.groupBy(query_key, key).agg((F.max if larger else F.min)("score").alias("score"))
+        return merged.withColumn("rank", F.row_number().over(W.partitionBy(query_key).orderBy(_better(metric, F.col("score")), key))).filter(F.col("rank") <= limit)
     spark = rows.sparkSession
-    qs = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v"), (F.col(space) if space else F.lit("")).alias("s")).filter("v is not null").collect()
+    qs = asked.collect()
     by_space: dict[str, tuple[list, np.ndarray, list[int]]] = {}
     for name in {r.s for r in qs}:
         mine = sorted((r for r in qs if r.s == name), key=lambda r: (r.q is not None, r.q))
@@ -143,7 +164,7 @@ def groups_by_parent(hits: DataFrame, query: str, parent: str, limit: int, score
 def best_per_file(results: DataFrame, query: str, file: str, rank: str) -> DataFrame:
     """First result of each file in each list, ranked anew from 1."""
     first = results.groupBy(query, file).agg(F.min(rank).alias("_first"))
-    return first.withColumn(rank, F.row_number().over(W.partitionBy(query).orderBy("_first", file))).drop("_first")
+    return rank_within(first, [query], [F.col("_first"), F.col(file)], rank).drop("_first")
 
 
 def relevant_rank(results: DataFrame, relevant: DataFrame, query: str, file: str, rank: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions import identity as I
@@ -18,6 +17,7 @@ from shelfmark.operators import search as S
 from shelfmark.operators.chunking import chunk_blocks
 from shelfmark.operators.filters import Condition, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker, bare_hash
+from shelfmark.operators.ranking import rank_within
 from shelfmark.operators.timestamps import normalise_timestamps
 from shelfmark.operators.store import Store, VectorConfig
 from shelfmark.plans.query_language import parse_query
@@ -338,8 +338,8 @@ _RANKED = f"r AS (SELECT query_id, file_id, CAST(row_number() OVER (PARTITION BY
 
 
 def _ranked(spark, d) -> DataFrame:
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "hit_id")
-    return _finite_hits(spark, d).select("query_id", "file_id", F.row_number().over(w).alias("rank"))
+    hits = _finite_hits(spark, d).select("query_id", "file_id", "score", "hit_id")
+    return rank_within(hits, ["query_id"], [F.col("score").desc(), F.col("hit_id")], "rank").select("query_id", "file_id", "rank")
 
 
 @query("best_per_file", f"WITH {_RANKED}, f AS (SELECT query_id, file_id, min(rank) AS m FROM r GROUP BY ALL) SELECT query_id, file_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY m, file_id) AS INTEGER) AS rank FROM f")

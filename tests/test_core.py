@@ -19,6 +19,7 @@ from shelfmark.operators import search as S
 from shelfmark.operators.chunking import chunk_blocks, chunk_document, split_sentences
 from shelfmark.operators.filters import Condition, MetadataQuery, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker
+from shelfmark.operators.ranking import percentiles, rank_within
 from shelfmark.operators.timestamps import normalise_timestamps, parser_of, utc_micros, zone_offsets, zone_table
 from shelfmark.plans.fields import day_edge
 from shelfmark.plans.requests import interactive_request, structured_request
@@ -323,3 +324,33 @@ def test_media(spark, tmp_path):
     files = spark.createDataFrame([(str(tmp_path / "a.png"), "image"), (str(tmp_path / "b.wav"), "audio"), ("c.md", "text")], "path string, file_type string")
     got = {r.file_type: r for r in media_metadata(files).collect()}
     assert got["image"].metadata.width == 10 and "ParseError" in got["audio"].error and got["text"].metadata is None
+
+
+# ---- hot groups -------------------------------------------------------------------------------
+
+
+def test_ranks_and_percentiles_of_hot_groups(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 50 != 1, "a").alias("g"), (F.col("id") * 7 % 3000).alias("v"), F.col("id").alias("k"))
+    plain = {r.k: r.pos for r in rank_within(rows, ["g"], [F.col("v").desc()], "pos").collect()}
+    assert {r.k: r.pos for r in rank_within(rows, ["g"], [F.col("v").desc()], "pos", hot_rows=100).collect()} == plain
+    values = rows.withColumn("v", F.when(F.col("k") % 11 != 0, F.floor(F.col("v") / 9)))
+    shares = {"p50": 0.5, "p95": 0.95, "p100": 1.0}
+    want = {r.g: r for r in percentiles(values, "v", ["g"], shares).collect()}
+    assert len(want) == 3
+    for r in percentiles(values, "v", ["g"], shares, hot_rows=100).collect():
+        assert tuple(r)[1:] == pytest.approx(tuple(want[r.g])[1:])
+
+
+def test_batch_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(200, 4)))], "id bigint, v array<double>")
+    asked = rows.filter("id < 40").select((F.col("id") % 13).alias("query_id"), F.col("v").alias("w"))
+    whole = [tuple(r) for r in S.batch_top_k(rows, "id", "v", asked, "query_id", "w", 4).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(S, "QUERY_BLOCK", 15)
+    assert [tuple(r) for r in S.batch_top_k(rows, "id", "v", asked, "query_id", "w", 4).orderBy("query_id", "rank").collect()] == whole
+
+
+def test_several_vectors_by_distance(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [5.0, 1.0]), ("c", [9.0, 9.0])], "id string, v array<double>")
+    found = S.multi_vector_top_k(rows, "v", [[1.0, 0.0], [5.0, 2.0]], 2, metric="euclid").collect()
+    assert [(r.id, r.score) for r in found] == [("a", 0.0), ("b", 1.0)]

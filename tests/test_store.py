@@ -8,6 +8,7 @@ from shelfmark.operators.store import Store, VectorConfig
 from shelfmark.plans.query_language import parse_query
 from shelfmark.plans.requests import Request, interactive_request
 from shelfmark.plans.service import FILES, SEGMENTS, Library
+from shelfmark.session import publish_file
 from shelfmark.streaming.ingest import upsert_stream
 
 PAYLOAD = T.StructType([T.StructField("kind", T.StringType()), T.StructField("size", T.IntegerType())])
@@ -110,3 +111,38 @@ def test_query_words():
     parsed = parse_query("C:\\dir it's \"two words\" name:'my file' min-res:10×20 after:2024")
     assert parsed.text == "C:\\dir it's two words" and parsed.metadata.name_contains == "my file"
     assert (parsed.metadata.min_width, parsed.metadata.min_height) == (10, 20) and parsed.metadata.modified_after.year == 2024
+
+
+def test_buckets_belong_to_the_collection(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    first = Store(spark, root, buckets=16)
+    first.create("c", PAYLOAD, [VectorConfig("v", 2, "euclid")])
+    first.upsert("c", spark.range(200).selectExpr("cast(id as string) as id", "'x' as kind", "cast(id as int) as size", "array(cast(id as float), 0f) as vec_v"))
+    other = Store(spark, root, buckets=64)
+    other.upsert("c", rows(spark, ("7", "y", -7, [7.0, 1.0])))
+    assert other.count("c") == 200 and other.retrieve("c", ["7"]).first().size == -7
+    # Several vectors on a collection of distances: the smallest counts.
+    assert [(r.id, r.score) for r in other.search("c", [[3.0, 0.0], [9.0, 0.5]], "v", 2).collect()] == [("3", 0.0), ("9", 0.5)]
+
+
+def test_children_by_parent(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store", buckets=8)
+    store.create("c", T.StructType([T.StructField("parent_id", T.StringType()), T.StructField("n", T.IntegerType())]), bucket_by="parent_id")
+    make = lambda *data: spark.createDataFrame(list(data), "id string, parent_id string, n int")
+    store.upsert("c", make(*[(f"{p}{k}", p, k) for p in "abcdefgh" for k in range(3)]))
+    before = dict(store._manifest("c")["parts"])
+    store.replace_children("c", make(("a9", "a", 9)), spark.createDataFrame([("a",), ("none",)], "id string"))
+    assert sorted(r.id for r in store.read("c").filter("parent_id = 'a'").collect()) == ["a9"] and store.count("c") == 22
+    after = store._manifest("c")["parts"]
+    assert sum(before[b] != after.get(b) for b in before) <= 2
+    store.delete("c", ["b1", "zz"])
+    store.upsert("c", make(("b2", "h", 5)))
+    assert store.count("c") == 21 and [r.parent_id for r in store.retrieve("c", ["b2"]).collect()] == ["h"]
+    with pytest.raises(Exception, match="parent"):
+        store.replace_children("c", make(("q", " ", 1)), spark.createDataFrame([("a",)], "id string"))
+
+
+def test_one_of_two_writers_fails(spark, tmp_path):
+    path = f"file://{tmp_path}/m/0.json"
+    assert publish_file(spark, path, "a") and not publish_file(spark, path, "b")
+    assert (tmp_path / "m" / "0.json").read_text() == "a" and [p.name for p in tmp_path.iterdir()] == ["m"]
