@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,11 +51,11 @@ def format_key(extension: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in FORMAT_ALIASES.items() for x in p]), bare), bare)
 
 
-def file_type_of(extension: Column) -> Column:
+def file_type_of(extension: Column, extensions: Mapping[str, Iterable[str]] = EXTENSIONS) -> Column:
     """image, audio or text by extension (any letter case); null for others."""
     low = fold(extension)
     out = F.lit(None).cast("string")
-    for kind, known in EXTENSIONS.items():
+    for kind, known in extensions.items():
         out = F.when(low.isin(*known), F.lit(kind)).otherwise(out)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.ranking import rank_within
@@ -104,3 +104,48 @@ def audio_ranges(files: DataFrame, duration: str, window: float, hop: float | No
     usable = files.filter(d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < float("inf")))
     spread = usable.withColumn("segment_index", F.explode(F.sequence(F.lit(0), last)))
     return spread.withColumn("start_seconds", F.col("segment_index") * F.lit(float(hop))).withColumn("end_seconds", F.least(F.col("segment_index") * F.lit(float(hop)) + F.lit(float(window)), d))
+
+
+def whole_files(files: DataFrame, duration: str) -> DataFrame:
+    """One range (segment_index, start_seconds, end_seconds) over the whole of each file that has a duration."""
+    d = F.col(duration).cast("double")
+    usable = files.filter(d.isNotNull() & ~F.isnan(d) & (d > 0) & (d < float("inf")))
+    return usable.select("*", F.lit(0).alias("segment_index"), F.lit(0.0).alias("start_seconds"), d.alias("end_seconds"))
+
+
+def checked_segments(segments: DataFrame, parent: str = "parent_id") -> DataFrame:
+    """Segments, or an error where one is wrong: a parent without an id, an index that is negative or occurs twice in a file, half a
+    time range, or one that is empty or begins before 0."""
+    start, end = F.col("start_seconds"), F.col("end_seconds")
+    fault = (
+        F.when(F.coalesce(F.trim(parent), F.lit("")) == "", "a segment needs the id of its file")
+        .when(F.col("segment_index").isNull() | (F.col("segment_index") < 0), "a segment index must be 0 or more")
+        .when(start.isNull() != end.isNull(), "a segment needs both ends of its time range or none")
+        .when((start < 0) | (end <= start), "a segment's time range must be positive")
+    )
+    # Counted beside the rows, so that a file of very many segments is no single task.
+    twice = segments.groupBy(parent, "segment_index").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(parent).alias("_p"), F.col("segment_index").alias("_i"))
+    marked = segments.join(twice, (F.col(parent) == F.col("_p")) & (F.col("segment_index") == F.col("_i")), "left")
+    fault = F.coalesce(fault, F.when(F.col("_p").isNotNull(), "a segment index occurs twice in a file"))
+    return marked.withColumn(parent, F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.col(parent))).drop("_p", "_i")
+
+
+def is_timed(start: str = "start_seconds", end: str = "end_seconds") -> Column:
+    """Whether a segment has a time range."""
+    return F.col(start).isNotNull() & F.col(end).isNotNull()
+
+
+def matched_counts(groups: DataFrame, matches: str = "matches") -> DataFrame:
+    """(files, matches): how many result groups there are, and how many matches they hold."""
+    return groups.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.size(matches)), F.lit(0)).alias("matches"))
+
+
+def plan_totals(counters: DataFrame) -> DataFrame:
+    """(total, new_files, updated_files, unchanged_files, work) over all queues of a plan."""
+    names = ("total", "new_files", "updated_files", "unchanged_files", "work")
+    return counters.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
+def by_hash(files: DataFrame, content: str, limit: int = 100, column: str = "content_hash") -> DataFrame:
+    """Files of one content in id order; the limit is the page."""
+    return files.filter(F.col(column) == content).orderBy("id").limit(limit)

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Callable, Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.identity import extension_of, file_id, file_type_of, fold, format_key
+from shelfmark.functions.identity import EXTENSIONS, extension_of, file_id, file_type_of, fold, format_key
 from shelfmark.sources.blocks import DOCUMENT_SCHEMA, Parsed, ParseError
 from shelfmark.sources.html import parse_html
 from shelfmark.sources.markdown import parse_markdown
@@ -24,6 +25,8 @@ from shelfmark.sources.pdf import parse_pdf
 
 Parser = Callable[[bytes], Parsed]
 PARSERS: dict[str, Parser] = {".pdf": parse_pdf, ".htm": parse_html, ".html": parse_html, ".md": parse_markdown, ".docx": parse_docx, ".pptx": parse_pptx}
+#: Documents above this size give an error row, as one is held whole while it is parsed.
+MOST_BYTES = 1 << 30
 #: Folders that are listed by tasks rather than on the driver.
 LISTED_BY_TASKS = 4096
 
@@ -38,32 +41,57 @@ def register_parser(extension: str, parser: Parser, parsers: dict[str, Parser] |
     return known | {extension: parser}
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = True, allowed_types: Sequence[str] | None = None) -> DataFrame:
+def _walk(top: str, deep: bool) -> Iterator[tuple[str, list[str], list[str]]]:
+    """Like ``os.walk``, but names of one folder come some thousands at a time, so that a flat folder of millions isn't held whole."""
+    stack = [top]
+    while stack:
+        here, names, folders = stack.pop(), [], []
+        try:
+            with os.scandir(here) as entries:
+                for entry in entries:
+                    if entry.is_dir(follow_symlinks=False):
+                        folders.append(entry.path)
+                    else:
+                        names.append(entry.name)
+                    if len(names) >= 5_000:
+                        yield here, [], names
+                        names = []
+        except OSError:
+            continue
+        yield here, [], names
+        stack += folders if deep else []
+
+
+def _listing(found: list[tuple]) -> pa.RecordBatch:
+    path, key, name, size, us = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(path), pa.array(key), pa.array(name), pa.array(size, pa.int64()), pa.array(us, pa.int64())], names=["path", "path_key", "file_name", "size_bytes", "us"])
+
+
+def discover(spark: SparkSession, folder: str, recursive: bool = True, allowed_types: Sequence[str] | None = None, extensions: Mapping[str, Iterable[str]] = EXTENSIONS, ordered: bool = False) -> DataFrame:
     """(path, path_key, file_name, extension, format_key, file_type, size_bytes, modified_at) of supported files.
 
     Folders and unsupported files are left out; links to files count as files. An unknown type is a ValueError, a path that is
-    no folder a NotADirectoryError.
+    no folder a NotADirectoryError. ``extensions`` says which ones each type supports; ``ordered`` sorts by path.
     """
     root = Path(folder).expanduser().resolve()
     if not root.is_dir():
         raise NotADirectoryError(str(folder))
-    if unknown := set(allowed_types or ()) - {"image", "audio", "text"}:
+    if unknown := set(allowed_types or ()) - set(extensions):
         raise ValueError(f"unknown file types: {', '.join(sorted(unknown))}")
     # The driver opens folders breadth first until there are enough for all tasks; each task then walks its own.
-    open_folders, done = [str(root)], []
+    open_folders, done = deque([str(root)]), []
     while recursive and open_folders and len(open_folders) + len(done) < LISTED_BY_TASKS:
-        here = open_folders.pop(0)
+        here = open_folders.popleft()
         done.append(here)
-        open_folders += sorted(e.path for e in os.scandir(here) if e.is_dir(follow_symlinks=False))
+        with os.scandir(here) as entries:
+            open_folders += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
     work = [(d, False) for d in done] + [(d, recursive) for d in open_folders]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for top, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = []
-                for here, folders, names in os.walk(top):
-                    if not deep:
-                        folders.clear()
+                for here, folders, names in _walk(top, deep):
                     for name in names:
                         path = os.path.join(here, name)
                         try:
@@ -72,15 +100,18 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True, allowed_t
                             continue
                         if os.path.isfile(path):
                             found.append((path, os.path.normcase(path), name, stat.st_size, int(stat.st_mtime * 1e6)))
+                    if len(found) >= 10_000:
+                        yield _listing(found)
+                        found = []
                 if found:
-                    cols = list(zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["path", "path_key", "file_name", "size_bytes", "us"])
+                    yield _listing(found)
 
     folders = spark.createDataFrame(work, "folder string, deep boolean").repartition(max(1, min(len(work), spark.sparkContext.defaultParallelism * 4)))
     listed = folders.mapInArrow(walk, "path string, path_key string, file_name string, size_bytes bigint, us bigint")
-    typed = listed.withColumn("extension", fold(extension_of(F.col("file_name")))).withColumn("file_type", file_type_of(F.col("extension"))).filter("file_type is not null")
+    typed = listed.withColumn("extension", fold(extension_of(F.col("file_name")))).withColumn("file_type", file_type_of(F.col("extension"), extensions)).filter("file_type is not null")
     if allowed_types is not None:
         typed = typed.filter(F.col("file_type").isin(list(allowed_types)))
+    typed = typed.orderBy("path") if ordered else typed
     return typed.select("path", "path_key", "file_name", "extension", format_key(F.col("extension")).alias("format_key"), "file_type", "size_bytes", F.timestamp_micros("us").alias("modified_at"))
 
 
@@ -127,6 +158,8 @@ def parse_documents(files: DataFrame, path: str = "path", content: str | None =
                     parser = known.get(os.path.splitext(name)[1].casefold())
                     if parser is None:
                         raise ParseError("unsupported extension")
+                    if not content and os.path.getsize(name) > MOST_BYTES:
+                        raise ParseError(f"a document of more than {MOST_BYTES} bytes")
                     raw = bytes(frame["content"].iloc[k]) if content else Path(name).read_bytes()
                     row |= parser(raw).row()
                 except (ParseError, OSError, RecursionError, ValueError, KeyError, TypeError) as error:

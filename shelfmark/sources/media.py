@@ -1,9 +1,10 @@
-"""Metadata of image and audio files from their headers, and decoding of WAV ranges."""
+"""Metadata of image and audio files from their headers, and decoding of ranges of uncompressed audio."""
 
 from __future__ import annotations
 
 import io
 import math
+import mmap
 import os
 import struct
 import wave
@@ -19,16 +20,72 @@ from shelfmark.sources.blocks import ParseError
 
 MEDIA_SCHEMA = (
     "width int, height int, image_format string, color_mode string, frame_count int, is_animated boolean, "
-    "duration_seconds double, sample_rate_hz int, channels int, bitrate_bps int, bits_per_sample int, audio_format string, codec string, tags map<string,array<string>>"
+    "duration_seconds double, sample_rate_hz int, channels int, bitrate_bps int, bits_per_sample int, audio_format string, codec string, tags map<string,array<string>>, "
+    "exif map<string,string>, mime_type string"
 )
-_FIELDS = [f.strip().split(" ", 1)[0] for f in MEDIA_SCHEMA.replace("map<string,array<string>>", "map").split(",")]
+_FIELDS = [f.strip().split(" ", 1)[0] for f in MEDIA_SCHEMA.replace("map<string,array<string>>", "map").replace("map<string,string>", "map").split(",")]
+# MIME types of the formats, and names of common EXIF tags.
+MIME = {
+    "PNG": "image/png", "GIF": "image/gif", "BMP": "image/bmp", "JPEG": "image/jpeg", "TIFF": "image/tiff", "WEBP": "image/webp",
+    "WAVE": "audio/wav", "AIFF": "audio/aiff", "FLAC": "audio/flac", "Ogg": "audio/ogg", "MP3": "audio/mpeg", "MP4": "audio/mp4",
+}
+EXIF_NAMES = {
+    256: "ImageWidth", 257: "ImageLength", 270: "ImageDescription", 271: "Make", 272: "Model", 274: "Orientation", 282: "XResolution", 283: "YResolution", 296: "ResolutionUnit", 305: "Software", 306: "DateTime", 315: "Artist",
+    33432: "Copyright", 33434: "ExposureTime", 33437: "FNumber", 34665: "ExifOffset", 34853: "GPSInfo", 36867: "DateTimeOriginal", 36868: "DateTimeDigitized", 37386: "FocalLength", 40962: "ExifImageWidth", 40963: "ExifImageHeight",
+}
 
 
 # ---- images -----------------------------------------------------------------------------------
 
 
 def image_metadata(raw: bytes) -> dict[str, Any]:
-    """Size, format, colour mode and frames of PNG, GIF, BMP, JPEG, WebP and TIFF."""
+    """Size, format, colour mode, frames, EXIF tags and MIME type of PNG, GIF, BMP, JPEG, WebP and TIFF."""
+    found = _image_header(raw)
+    return found | {"exif": exif_tags(raw), "mime_type": MIME[found["image_format"]]}
+
+
+def exif_tags(raw: bytes) -> dict[str, str]:
+    """Tags of the first EXIF directory by name (by number where the name isn't known); none where there is no EXIF."""
+    if raw[:2] == b"\xff\xd8":
+        at = raw.find(b"Exif\0\0")
+        block = raw[at + 6 :] if at >= 0 else b""
+    elif raw.startswith(b"\x89PNG"):
+        at = raw.find(b"eXIf")
+        block = raw[at + 4 :] if at >= 0 else b""
+    elif raw[:4] == b"RIFF":
+        at = raw.find(b"EXIF")
+        block = raw[at + 8 :] if at >= 0 else b""
+        block = block[6:] if block.startswith(b"Exif\0\0") else block
+    else:
+        block = raw if raw[:4] in (b"II*\0", b"MM\0*") else b""
+    if block[:2] not in (b"II", b"MM"):
+        return {}
+    order = "<" if block[:2] == b"II" else ">"
+    try:
+        at = struct.unpack(f"{order}I", block[4:8])[0]
+        count = struct.unpack(f"{order}H", block[at : at + 2])[0]
+        entries = [block[at + 2 + 12 * k : at + 14 + 12 * k] for k in range(count)]
+        return {EXIF_NAMES.get(tag, str(tag)): value for tag, value in (_exif_value(order, block, e) for e in entries if len(e) == 12) if value is not None}
+    except struct.error:
+        return {}
+
+
+def _exif_value(order: str, block: bytes, entry: bytes) -> tuple[int, str | None]:
+    tag, kind, count = struct.unpack(f"{order}HHI", entry[:8])
+    # Type -> (bytes of one value, code to unpack it with): byte, text, short, long, fraction, signed fraction.
+    known = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 10: (8, "ii")}
+    if kind not in known:
+        return tag, None
+    width, code = known[kind]
+    at = struct.unpack(f"{order}I", entry[8:12])[0]
+    data = entry[8 : 8 + width * count] if width * count <= 4 else block[at : at + width * count]
+    if kind == 2:
+        return tag, data.split(b"\0")[0].decode("utf-8", "replace").strip()
+    values = struct.iter_unpack(order + code, data)
+    return tag, ", ".join(f"{v[0] / v[1]:g}" if len(v) == 2 and v[1] else str(v[0]) for v in values)
+
+
+def _image_header(raw: bytes) -> dict[str, Any]:
     for mark, read in ((b"\x89PNG\r\n\x1a\n", _png), (b"GIF8", _gif), (b"BM", _bmp), (b"\xff\xd8", _jpeg), (b"II*\0", _tiff), (b"MM\0*", _tiff)):
         if raw.startswith(mark):
             return read(raw)
@@ -124,7 +181,14 @@ def _tiff(raw: bytes) -> dict[str, Any]:
 
 
 def audio_metadata(raw: bytes, extension: str = "", size: int | None = None) -> dict[str, Any]:
-    """Duration, rate, channels, bits, format, codec and text tags of WAV, AIFF, FLAC, Ogg and MP3."""
+    """Duration, rate, channels, bits, format, codec, text tags and MIME type of WAV, AIFF, FLAC, Ogg, MP3 and MP4."""
+    found = _audio_header(raw, size)
+    return found | {"mime_type": MIME[found["audio_format"]]}
+
+
+def _audio_header(raw: bytes, size: int | None) -> dict[str, Any]:
+    if raw[4:8] == b"ftyp":
+        return _mp4(raw, size if size is not None else len(raw))
     if raw[:4] == b"RIFF" and raw[8:12] == b"WAVE":
         return _wav(raw)
     if raw[:4] == b"FORM" and raw[8:12] in (b"AIFF", b"AIFC"):
@@ -220,10 +284,75 @@ MP3_KBPS = {1: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320
 MP3_RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
 
 
+def _synchsafe(four: bytes) -> int:
+    return sum((b & 127) << 7 * (3 - k) for k, b in enumerate(four))
+
+
+def id3_tags(raw: bytes) -> dict[str, list[str]]:
+    """Text frames of an ID3 tag of version 2.3 or 2.4 by lower-case frame name; binary frames are left out."""
+    tags: dict[str, list[str]] = {}
+    version, at, end = raw[3], 10, 10 + _synchsafe(raw[6:10])
+    while version in (3, 4) and at + 10 <= min(end, len(raw)) and raw[at : at + 4].isalnum():
+        size = _synchsafe(raw[at + 4 : at + 8]) if version == 4 else int.from_bytes(raw[at + 4 : at + 8], "big")
+        name, body = raw[at : at + 4].decode("ascii"), raw[at + 10 : at + 10 + size]
+        if name[0] == "T" and body:
+            text = body[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace")
+            values = [v.strip() for v in text.split("\0") if v.strip()]
+            if name == "TXXX" and len(values) > 1:
+                name, values = f"TXXX:{values[0]}", values[1:]
+            if values:
+                tags.setdefault(name.casefold(), []).extend(values)
+        at += 10 + size
+    return tags
+
+
+def _boxes(raw: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, begin, end) of the boxes of an MP4 file between two offsets."""
+    while at + 8 <= end:
+        size, name, head = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(raw[at + 8 : at + 16], "big"), 16
+        stop = end if size == 0 else min(at + size, end)
+        if stop < at + head:
+            return
+        yield name, at + head, stop
+        at = stop
+
+
+def _mp4(raw: bytes, size: int) -> dict[str, Any]:
+    nested = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"udta", b"ilst"}
+    seconds, rate, channels, bits, codec, tags = None, 0, 0, None, None, {}
+    stack = [(0, len(raw), b"")]
+    while stack:
+        begin, end, inside = stack.pop()
+        for name, a, b in _boxes(raw, begin, end):
+            if name in nested:
+                stack.append((a, b, name))
+            elif name == b"meta":
+                stack.append((a + 4, b, name))
+            elif name == b"mvhd":
+                long = raw[a] == 1
+                scale, length = struct.unpack(">IQ" if long else ">II", raw[a + (20 if long else 12) : a + (32 if long else 20)])
+                seconds = length / scale if scale else 0.0
+            elif name == b"stsd":
+                entry = a + 8
+                if raw[entry + 4 : entry + 8] in (b"mp4a", b"alac", b"ac-3", b"Opus", b"fLaC"):
+                    codec = raw[entry + 4 : entry + 8].decode("ascii")
+                    channels, bits = struct.unpack(">HH", raw[entry + 24 : entry + 28])
+                    rate = struct.unpack(">I", raw[entry + 32 : entry + 36])[0] >> 16
+            elif inside == b"ilst":
+                for kind, c, d in _boxes(raw, a, b):
+                    if kind == b"data" and raw[c : c + 4] == b"\0\0\0\1" and (value := raw[c + 8 : d].decode("utf-8", "replace").strip()):
+                        tags.setdefault(name.decode("latin-1").casefold(), []).append(value)
+    if seconds is None or codec is None:
+        raise ParseError("an MP4 file without an audio track")
+    return _audio("MP4", seconds, rate, channels, bits, size * 8 / seconds if seconds else None, codec, tags)
+
+
 def _mp3(raw: bytes, size: int) -> dict[str, Any]:
-    at = 0
+    at, tags = 0, {}
     if raw[:3] == b"ID3":
-        at = 10 + sum((raw[6 + k] & 127) << 7 * (3 - k) for k in range(4))
+        at, tags = 10 + _synchsafe(raw[6:10]), id3_tags(raw)
     while at + 4 <= len(raw):
         if raw[at] == 0xFF and raw[at + 1] & 0xE0 == 0xE0:
             version, layer, rate_at, kbps_at = raw[at + 1] >> 3 & 3, raw[at + 1] >> 1 & 3, raw[at + 2] >> 2 & 3, raw[at + 2] >> 4
@@ -235,32 +364,83 @@ def _mp3(raw: bytes, size: int) -> dict[str, Any]:
                     seconds = struct.unpack(">I", raw[vbr + 8 : vbr + 12])[0] * samples / rate
                 else:
                     seconds = (size - at) * 8 / (kbps * 1000)
-                return _audio("MP3", seconds, rate, 1 if raw[at + 3] >> 6 == 3 else 2, None, kbps * 1000, "MP3")
+                return _audio("MP3", seconds, rate, 1 if raw[at + 3] >> 6 == 3 else 2, None, kbps * 1000, "MP3", tags)
         at += 1
     raise ParseError("an MP3 file without a frame")
 
 
-def decode_wav(raw: bytes, start: float, end: float, rate: int | None = None) -> tuple[np.ndarray, int]:
-    """Mono samples of [start, end) seconds in -1…1, resampled linearly to ``rate``; an empty range is an error."""
-    with wave.open(io.BytesIO(raw)) as source:
+def _pcm(data: bytes, width: int, big: bool, unsigned: bool) -> np.ndarray:
+    """Samples of 1 to 4 bytes as numbers in -1…1."""
+    if width == 3:
+        parts = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+        low, high = (2, 0) if big else (0, 2)
+        return ((parts[:, low] << 8 | parts[:, 1] << 16 | parts[:, high] << 24) >> 8) / float(1 << 23)
+    if width == 1 and unsigned:
+        return np.frombuffer(data, np.uint8).astype(np.float64) / 128 - 1
+    return np.frombuffer(data, f"{'>' if big else '<'}i{width}") / float(1 << 8 * width - 1)
+
+
+def _mono(data: bytes, width: int, channels: int, own: int, rate: int | None, big: bool, unsigned: bool) -> tuple[np.ndarray, int]:
+    mono = _pcm(data, width, big, unsigned).reshape(-1, channels).mean(axis=1)
+    if rate and rate != own:
+        count = max(1, round(len(mono) * rate / own))
+        mono = np.interp(np.arange(count) * own / rate, np.arange(len(mono)), mono)
+    return mono.astype(np.float32), rate or own
+
+
+def decode_wav(raw: bytes | str, start: float, end: float, rate: int | None = None) -> tuple[np.ndarray, int]:
+    """Mono samples of [start, end) seconds in -1…1, resampled linearly to ``rate``; an empty range is an error.
+
+    ``raw`` is the content or a path; of a path only the range is read.
+    """
+    with wave.open(io.BytesIO(raw) if isinstance(raw, bytes) else raw) as source:
         own, width, channels = source.getframerate(), source.getsampwidth(), source.getnchannels()
         first, last = (min(max(round(t * own), 0), source.getnframes()) for t in (start, end))
         if last <= first:
             raise ParseError("an empty audio range")
         source.setpos(first)
         data = source.readframes(last - first)
-    if width == 1:
-        samples = np.frombuffer(data, np.uint8).astype(np.float64) / 128 - 1
-    elif width == 3:
-        raw3 = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        samples = ((raw3[:, 0] << 8 | raw3[:, 1] << 16 | raw3[:, 2] << 24) >> 8) / float(1 << 23)
-    else:
-        samples = np.frombuffer(data, f"<i{width}") / float(1 << 8 * width - 1)
-    mono = samples.reshape(-1, channels).mean(axis=1)
-    if rate and rate != own:
-        count = max(1, round(len(mono) * rate / own))
-        mono = np.interp(np.arange(count) * own / rate, np.arange(len(mono)), mono)
-    return mono.astype(np.float32), rate or own
+    return _mono(data, width, channels, own, rate, False, True)
+
+
+def decode_aiff(raw: bytes | str, start: float, end: float, rate: int | None = None) -> tuple[np.ndarray, int]:
+    """Like ``decode_wav``, for uncompressed AIFF."""
+    with io.BytesIO(raw) if isinstance(raw, bytes) else open(raw, "rb") as source:
+        source.seek(12)
+        head = sound = None
+        while (chunk := source.read(8)) and len(chunk) == 8 and not (head and sound):
+            name, size = chunk[:4], int.from_bytes(chunk[4:], "big")
+            begin = source.tell()
+            if name == b"COMM":
+                body = source.read(size)
+                power, mantissa = struct.unpack(">HQ", body[8:18])
+                if size > 18 and body[18:22] not in (b"NONE", b"twos"):
+                    raise ParseError("a compressed AIFF file")
+                head = *struct.unpack(">hIh", body[:8]), round(mantissa * 2.0 ** ((power & 0x7FFF) - 16446))
+            elif name == b"SSND":
+                sound = begin + 8 + int.from_bytes(source.read(4), "big")
+            source.seek(begin + size + size % 2)
+        if not head or not sound:
+            raise ParseError("an AIFF file without sound")
+        channels, frames, bits, own = head
+        width = (bits + 7) // 8
+        first, last = (min(max(round(t * own), 0), frames) for t in (start, end))
+        if last <= first:
+            raise ParseError("an empty audio range")
+        source.seek(sound + first * width * channels)
+        data = source.read((last - first) * width * channels)
+    return _mono(data, width, channels, own, rate, True, False)
+
+
+def decode_audio(path: str, start: float, end: float, rate: int | None = None) -> tuple[np.ndarray, int]:
+    """Range of a file by its leading bytes; formats that are compressed need a decoder of your own."""
+    with open(path, "rb") as source:
+        head = source.read(12)
+    if head[:4] == b"RIFF":
+        return decode_wav(path, start, end, rate)
+    if head[:4] == b"FORM":
+        return decode_aiff(path, start, end, rate)
+    raise ParseError("no decoder for this audio format")
 
 
 def media_metadata(files: DataFrame, path: str = "path", file_type: str = "file_type") -> DataFrame:
@@ -273,8 +453,13 @@ def media_metadata(files: DataFrame, path: str = "path", file_type: str = "file_
                 row: dict[str, Any] = dict.fromkeys(_FIELDS) | {"path": name, "error": None}
                 try:
                     with open(name, "rb") as source:
-                        row |= image_metadata(source.read()) if kind == "image" else audio_metadata(source.read(), size=os.path.getsize(name))
-                except (ParseError, OSError, struct.error, IndexError, ValueError, ZeroDivisionError) as error:
+                        if kind == "image":
+                            row |= image_metadata(source.read())
+                        else:
+                            # Headers stand at either end; a long recording isn't read into memory.
+                            with mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
+                                row |= audio_metadata(mapped, size=os.path.getsize(name))
+                except (ParseError, OSError, EOFError, struct.error, IndexError, ValueError, ZeroDivisionError) as error:
                     row["error"] = f"{type(error).__name__}: {error}"
                 rows.append(row)
             out = pd.DataFrame(rows, columns=["path", *_FIELDS, "error"])
