@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,9 +40,26 @@ def segment_id(path_key: Column, index: Column) -> Column:
     return uuid5(SEGMENT_NAMESPACE, F.concat(path_key, F.lit("\u0000"), checked))
 
 
+#: Letters whose case folding isn't their lower case, from the database of characters Python carries (about 100 with several letters).
+FOLDED = {c: f for c in map(chr, range(0x80, 0x1FFFF)) if (f := c.casefold()) != c.lower() and not 0xD800 <= ord(c) <= 0xDFFF}
+_ONE = {c: f for c, f in FOLDED.items() if len(f) == 1}
+_MANY = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
+
 def fold(text: Column) -> Column:
-    """Case folding: lower case, with the letters whose folding differs from it."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Case folding as Python's ``casefold``: lower case, but for the letters that fold otherwise (ß, ligatures, final sigma and the like).
+
+    Plain ASCII takes the short way.
+    """
+    single = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    rare = F.regexp_replace(single, f"([{''.join(_MANY)}])", "\u0001$1\u0002")
+    split = F.transform(F.split(rare, "\u0001"), lambda part: F.coalesce(F.concat(F.try_element_at(_table(), F.substring_index(part, "\u0002", 1)), F.substring_index(part, "\u0002", -1)), part))
+    special = F.when(F.contains(rare, F.lit("\u0002")), F.array_join(split, "")).otherwise(single)
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.lower(special))
+
+
+def _table() -> Column:
+    return F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
 
 
 def format_key(extension: Column) -> Column:
@@ -80,6 +97,24 @@ def query_key(text: Column) -> Column:
     return fold(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+def file_key(name: Column) -> Column:
+    """Letters and numbers of a file's stem: the base name without its last suffix."""
+    base = F.element_at(F.split(F.translate(F.trim(name), "\\", "/"), "/"), -1)
+    return identity_key(F.regexp_replace(base, r"(?<=.)\.[^.]+$", ""))
+
+
+def query_type_of(text: Column, official: Sequence[str]) -> Column:
+    """The official type of the same letters and numbers, else Other; a blank one is an error."""
+    known = F.create_map(*[F.lit(x) for k in official for x in ("".join(c for c in k.casefold() if c.isalnum()), k)])
+    kind = F.coalesce(F.try_element_at(known, identity_key(text)), F.lit("Other"))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.raise_error(F.lit("a query type is blank"))).otherwise(kind)
+
+
+def query_id(identity: Column, query: Column) -> Column:
+    """Id of a question of one enterprise: both keys with a colon between them."""
+    return F.concat(identity_key(identity), F.lit(":"), query_key(query))
+
+
 def logical_document_id(path: Column) -> Column:
     """Grandparent folder and stem: the same document in another format has the same id."""
     parts = F.split(F.translate(path, "\\", "/"), "/")

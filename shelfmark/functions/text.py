@@ -60,11 +60,63 @@ def score_text(score: Column) -> Column:
     return F.format_string("%.3f", score.cast("double"))
 
 
-def details_text(file_format: Column, width: Column, height: Column, seconds: Column, rate: Column, size: Column) -> Column:
-    """Known details of a file on one line."""
-    megabytes = F.when(size >= 1 << 20, F.format_string("%.1f MB", size / (1 << 20))).when(size >= 1 << 10, F.format_string("%.1f KB", size / (1 << 10))).otherwise(F.format_string("%d B", size.cast("bigint")))
-    parts = [F.upper(file_format), F.when(width.isNotNull() & height.isNotNull(), F.concat_ws("×", width.cast("string"), height.cast("string"))), duration_text(seconds), F.when(rate.isNotNull(), F.format_string("%.1f kHz", rate / 1000)), megabytes]
-    return F.concat_ws(" · ", *parts)
+def size_text(size: Column) -> Column:
+    """Bytes in decimal units: B, kB, MB, GB or TB, one decimal from kB on."""
+    out = F.format_string("%d B", size.cast("bigint"))
+    for power, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+        out = F.when(size >= 1000**power, F.format_string(f"%.1f {unit}", size / 1000.0**power)).otherwise(out)
+    return F.when(size.isNotNull(), out)
+
+
+def details_text(
+    file_format: Column, width: Column, height: Column, seconds: Column, rate: Column, size: Column, mode: Column | None = None, bitrate: Column | None = None, channels: Column | None = None,
+    codec: Column | None = None, frames: Column | None = None,
+) -> Column:
+    """Known details of a file on one line; what isn't known is left out."""
+    kilo = lambda c, unit: F.when(c.isNotNull(), F.concat(F.regexp_replace(F.format_string("%.3f", c / 1000.0), r"\.?0+$", ""), F.lit(f" {unit}")))
+    none = F.lit(None).cast("string")
+    parts = [
+        F.upper(F.regexp_replace(file_format, r"^\.", "")),
+        F.when(width.isNotNull() & height.isNotNull(), F.concat(F.format_number(width, 0), F.lit(" × "), F.format_number(height, 0), F.lit(" px"))),
+        mode if mode is not None else none,
+        duration_text(seconds),
+        kilo(rate, "kHz"),
+        kilo(bitrate, "kbps") if bitrate is not None else none,
+        F.when(channels == 1, F.lit("1 channel")).when(channels.isNotNull(), F.concat(channels.cast("string"), F.lit(" channels"))) if channels is not None else none,
+        codec if codec is not None else none,
+        size_text(size),
+        F.when(frames > 1, F.concat(F.format_number(frames, 0), F.lit(" frames"))) if frames is not None else none,
+    ]
+    return F.concat_ws(" · ", *[F.when(p != "", p) for p in parts])
+
+
+def modified_text(at: Column) -> Column:
+    """``Mar 4, 2024 at 09:05`` in the session's zone; Unknown for null."""
+    return F.coalesce(F.date_format(at, "MMM d, yyyy 'at' HH:mm"), F.lit("Unknown"))
+
+
+def discovery_text(file_type: Column, total: Column, new: Column, changed: Column, unchanged: Column, failed: Column | None = None) -> Column:
+    """Counts of one queue on one line; unreadable files are named where there are any."""
+    counts = [F.concat(c.cast("string"), F.lit(f" {label}")) for c, label in ((total, "found"), (new, "new"), (changed, "changed"), (unchanged, "unchanged"))]
+    counts += [F.when(failed > 0, F.concat(failed.cast("string"), F.lit(" unreadable")))] if failed is not None else []
+    return F.concat(F.initcap(file_type), F.lit(" files  "), F.concat_ws(" · ", *counts))
+
+
+def confirmation_text(file_type: Column, new: Column, changed: Column) -> Column:
+    """The question before a queue is worked on: ``Index 3 text files (2 new, 1 changed)?``."""
+    details = F.concat_ws(", ", F.when(new > 0, F.concat(new.cast("string"), F.lit(" new"))), F.when(changed > 0, F.concat(changed.cast("string"), F.lit(" changed"))))
+    files = F.when(new + changed == 1, F.lit("file")).otherwise(F.lit("files"))
+    return F.concat(F.lit("Index "), (new + changed).cast("string"), F.lit(" "), file_type, F.lit(" "), files, F.lit(" ("), details, F.lit(")?"))
+
+
+def time_range_text(index: Column, start: Column, end: Column) -> Column:
+    """Where a timed segment stands: its number from 1 and its range."""
+    return F.concat(F.lit("#"), (index + 1).cast("string"), F.lit("  "), timestamp_text(start), F.lit(" – "), timestamp_text(end))
+
+
+def json_text(*columns: Column) -> Column:
+    """Columns as one JSON object; nested values, nulls included, and times in ISO form."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"})
 
 
 def segment_text(page: Column, slide: Column, section: Column, line_start: Column, line_end: Column) -> Column:

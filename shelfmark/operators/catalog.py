@@ -16,10 +16,10 @@ def classify_changes(discovered: DataFrame, existing: DataFrame, key: str = "pat
     return joined.withColumn("change", change).drop("_known", "_there")
 
 
-def change_counters(classified: DataFrame, by: str = "file_type") -> DataFrame:
-    """(by, total, new, updated, unchanged, work) of each queue."""
+def change_counters(classified: DataFrame, by: str = "file_type", failures: bool = False) -> DataFrame:
+    """(by, total, new, updated, unchanged, work) of each queue; with ``failures`` also the files that couldn't be read."""
     count = lambda kind: F.sum(F.when(F.col("change") == kind, 1).otherwise(0))
-    counted = classified.groupBy(by).agg(F.count(F.lit(1)).alias("total"), count("new").alias("new_files"), count("updated").alias("updated_files"), count("unchanged").alias("unchanged_files"))
+    counted = classified.groupBy(by).agg(F.count(F.lit(1)).alias("total"), count("new").alias("new_files"), count("updated").alias("updated_files"), count("unchanged").alias("unchanged_files"), *([count("failed").alias("failed_files")] if failures else []))
     return counted.withColumn("work", F.col("new_files") + F.col("updated_files"))
 
 

@@ -76,8 +76,8 @@ class Library:
         return C.classify_changes(found, self.store.read(FILES).select("path_key", "content_hash"))
 
     def counters(self, plan: DataFrame) -> DataFrame:
-        """(file_type, total, new, updated, unchanged, work) of every queue of a plan."""
-        return C.change_counters(plan)
+        """(file_type, total, new, updated, unchanged, failed, work) of every queue of a plan."""
+        return C.change_counters(plan, failures=True)
 
     def index(self, folder: str, recursive: bool = True, types: Sequence[str] | None = None) -> DataFrame:
         """Index new and changed files; returns (path, file_type, change, error), one row per file worked on.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.identity import file_name_key, identity_key, query_key
+from shelfmark.functions.identity import file_name_key, identity_key, query_key, query_type_of
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +45,7 @@ def document_questions(spark: SparkSession, path: str, official: list[str]) -> D
     needed = ["Enterprise Name", "Query Type", "Query", "Supporting Facts"]
     if lacking := [c for c in needed if c not in table.columns]:
         raise ValueError(f"missing columns: {', '.join(lacking)}")
-    kinds = F.create_map(*[F.lit(x) for k in official for x in (k.casefold(), k)])
-    kind = F.when(F.trim("Query Type") == "", F.raise_error(F.lit("a query type is blank"))).otherwise(F.coalesce(F.try_element_at(kinds, F.lower(F.trim("Query Type"))), F.lit("Other")))
+    kind = query_type_of(F.col("Query Type"), official)
     facts = F.from_json("Supporting Facts", "array<struct<filename:string>>")
     rows = table.select(F.monotonically_increasing_id().alias("row"), F.trim("Enterprise Name").alias("enterprise"), F.trim("Query").alias("query"), kind.alias("query_type"), F.posexplode(facts).alias("pos", "fact"))
     rows = rows.withColumn("file", file_name_key(F.col("fact.filename")))
@@ -56,3 +55,14 @@ def document_questions(spark: SparkSession, path: str, official: list[str]) -> D
     merged = first.groupBy("e", "q").agg(F.min("enterprise").alias("enterprise"), F.min("query").alias("query"), F.min("low").alias("low"), F.max("high").alias("high"), F.transform(F.sort_array(F.collect_list(F.struct("at", "file"))), lambda x: x["file"]).alias("files"))
     one = F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("a question has two types"))).otherwise(F.col("low"))
     return merged.select(F.concat_ws(":", "e", "q").alias("query_id"), "enterprise", one.alias("query_type"), "query", "files")
+
+
+#: Target -> reader of its annotations.
+READERS = {"image": nested_captions, "audio": wide_captions, "text": document_questions}
+
+
+def annotations(spark: SparkSession, target: str, path: str, *more) -> DataFrame:
+    """Annotations of a target in the form they are published in."""
+    if target not in READERS:
+        raise ValueError(f"no annotations are known for {target!r}")
+    return READERS[target](spark, path, *more)

@@ -130,11 +130,19 @@ def _block(node: Element, out: Parsed) -> None:
         rows = [[one_line(c.text()) for c in r.children if isinstance(c, Element) and c.tag in ("td", "th")] for _, r in node.walk() if isinstance(r, Element) and r.tag == "tr"]
         out.add("table", "\n".join(" | ".join(r) for r in rows if r), line=node.line)
     else:
-        text = node.text("").replace("\x00", "").replace("\r\n", "\n").replace("\r", "\n").strip("\n")
-        code = node.find("code") if tag == "pre" else node
-        names = (code.attrs.get("class") or "").split() if code is not None else []
-        language = next((n.split("-", 1)[1] for n in names if n.startswith(("lang-", "language-")) and n.split("-", 1)[1]), None)
-        out.add("code", text, line=node.line, **({"language": language} if language else {}))
+        out.add("code", _lines(node.text("")), line=node.line, **_language(node))
+
+
+def _lines(text: str) -> str:
+    """Code as it stands, with one kind of line break and none at its ends."""
+    return re.sub(r"\r\n?", "\n", text.replace("\x00", "")).strip("\n")
+
+
+def _language(node: Element) -> dict[str, str]:
+    """The language that a class of the code names, as an attribute."""
+    inner = node.find("code") if node.tag == "pre" else node
+    named = re.search(r"(?:^|\s)lang(?:uage)?-(\S+)", (inner.attrs.get("class") or "") if inner is not None else "")
+    return {"language": named[1]} if named else {}
 
 
 def _nearest(node: Element, tags: set[str]) -> Element | None:
@@ -144,13 +152,9 @@ def _nearest(node: Element, tags: set[str]) -> Element | None:
 
 
 def _metadata(root: Element, out: Parsed, encoding: str) -> None:
-    metas: dict[str, list[str]] = {}
-    for _, node in root.walk():
-        if isinstance(node, Element) and node.tag == "meta":
-            key = node.attrs.get("name") or node.attrs.get("property") or node.attrs.get("http-equiv")
-            value = one_line(node.attrs.get("content"))
-            if key and key.strip() and value:
-                metas.setdefault(key.strip().casefold(), []).append(value)
+    pairs = [(n.attrs, one_line(n.attrs.get("content"))) for _, n in root.walk() if isinstance(n, Element) and n.tag == "meta"]
+    named = [(next((k for a in ("name", "property", "http-equiv") if (k := at.get(a))), "").strip().casefold(), value) for at, value in pairs if value]
+    metas = {key: [v for k, v in named if k == key] for key in dict(named) if key}
     every = lambda *keys: [v for k in keys for v in metas.get(k, [])]
     first = lambda *keys: next(iter(every(*keys)), None)
     title, heading = root.find("title"), root.find("h1")

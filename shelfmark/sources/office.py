@@ -213,6 +213,8 @@ def _slide(slide: ET.Element, number: int, out: Parsed) -> None:
     for shape in shapes:
         named = shape.find(f".//{P}cNvPr")
         extra = {"shape_name": named.get("name")} if named is not None and one_line(named.get("name")) else {}
+        if kind := _placeholder(shape):
+            extra["placeholder_type"] = kind.casefold()
         table = shape.find(f".//{A}tbl")
         if table is not None:
             rows = [[one_line(" ".join(map(_lines, c.iter(f"{A}p")))) for c in r.findall(f"{A}tc")] for r in table.findall(f"{A}tr")]

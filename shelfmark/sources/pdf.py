@@ -9,9 +9,11 @@ import datetime as dt
 import re
 import zlib
 from typing import Any
+from xml.etree import ElementTree as ET
 
-from shelfmark.sources.blocks import Parsed, ParseError, keyword_list, kept_lines, one_line
+from shelfmark.sources.blocks import Parsed, ParseError, first_distinct, iso_time, keyword_list, kept_lines, one_line
 
+RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 #: Bound of the unpacked content of one stream.
 MOST_STREAM = 50 << 20
 
@@ -272,6 +274,33 @@ def _date(raw: Any) -> dt.datetime | None:
     return moment - shift if m[8] == "+" else moment + shift
 
 
+def _default_language(alternatives: dict[str, str]) -> str | None:
+    """The text of ``x-default`` of a table of languages, else the first one."""
+    return alternatives.get("x-default") or next(iter(alternatives.values()), None)
+
+
+def xmp_values(packet: bytes) -> dict[str, list[str]]:
+    """Values of an XMP packet by name (``dc:title``); of alternatives in several languages the default one. A broken packet has none."""
+    try:
+        root = ET.fromstring(re.sub(rb"<\?xpacket[^>]*\?>", b"", packet).strip())
+    except ET.ParseError:
+        return {}
+    prefix = {"http://purl.org/dc/elements/1.1/": "dc", "http://ns.adobe.com/xap/1.0/": "xmp", "http://ns.adobe.com/pdf/1.3/": "pdf"}
+    named = lambda tag: f"{prefix.get(tag[1:].partition('}')[0], '?')}:{tag.rpartition('}')[2]}"
+    out: dict[str, list[str]] = {}
+    for about in root.iter(f"{RDF}Description"):
+        out |= {named(k): [v] for k, v in about.attrib.items() if one_line(v)}
+        for node in about:
+            items = [(i.get("{http://www.w3.org/XML/1998/namespace}lang", ""), one_line(i.text)) for i in node.iter(f"{RDF}li")]
+            if node.find(f"{RDF}Alt") is not None:
+                found = [_default_language({lang: t for lang, t in items if t})]
+            else:
+                found = [t for _, t in items] or [one_line(node.text)]
+            if texts := [t for t in found if t]:
+                out[named(node.tag)] = texts
+    return out
+
+
 def parse_pdf(raw: bytes) -> Parsed:
     reader = Reader(raw)
     pages = reader.pages()
@@ -281,12 +310,18 @@ def parse_pdf(raw: bytes) -> Parsed:
     info = reader.get(reader.trailer.get("Info"))
     info = info if isinstance(info, dict) else {}
     get = lambda key: one_line(text_string(reader.get(info.get(key))))
-    out.title, out.authors = get("Title") or None, [get("Author")] if get("Author") else []
-    out.created_at, out.content_modified_at = _date(reader.get(info.get("CreationDate"))), _date(reader.get(info.get("ModDate")))
-    out.language = one_line(text_string(reader.get(reader.root.get("Lang")))) or None
-    out.properties = {k.lower(): get(k) for k in ("Subject", "Creator", "Producer") if get(k)}
+    packet = reader.root.get("Metadata")
+    xmp = xmp_values(reader.stream(int(packet))) if isinstance(packet, Ref) and int(packet) in reader.streams else {}
+    first = lambda name: next(iter(xmp.get(name, [])), "")
+    out.title = get("Title") or first("dc:title") or None
+    out.authors = first_distinct([*xmp.get("dc:creator", []), *filter(None, [get("Author")])])
+    out.created_at = _date(reader.get(info.get("CreationDate"))) or iso_time(first("xmp:CreateDate"))
+    out.content_modified_at = _date(reader.get(info.get("ModDate"))) or iso_time(first("xmp:ModifyDate"))
+    out.language = first("dc:language") or one_line(text_string(reader.get(reader.root.get("Lang")))) or None
+    stated = {"subject": get("Subject") or first("dc:description"), "creator": get("Creator") or first("xmp:CreatorTool"), "producer": get("Producer") or first("pdf:Producer")}
+    out.properties = {k: v for k, v in stated.items() if v}
     out.properties["version"] = raw[raw.find(b"%PDF-") + 5 :][:3].decode("latin-1")
-    if words := keyword_list(get("Keywords")):
+    if words := first_distinct([*keyword_list(get("Keywords")), *keyword_list(first("pdf:Keywords")), *xmp.get("dc:subject", [])]):
         out.properties["keywords"] = words
     outline = reader.outline({number: k for k, (number, _) in enumerate(pages)})
     section: list[str] = []
