@@ -12,9 +12,9 @@ def squeeze(text: Column) -> Column:
 
 
 def squeeze_lines(text: Column) -> Column:
-    """Like ``squeeze`` within each line; blank lines at both ends dropped."""
-    lines = F.split(F.regexp_replace(F.replace(text, F.lit("\u0000"), F.lit("")), r"\r\n|\r|\x0B", "\n"), "\n")
-    return F.trim(F.array_join(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), "\n"), F.lit("\n"))
+    """Like ``squeeze`` within each line; blank lines are dropped. A vertical tab is a line break."""
+    lines = F.split(F.replace(text, F.lit("\u0000"), F.lit("")), r"\r\n|[\n\r\x0B]")
+    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != ""), "\n")
 
 
 def first_text(*candidates: Column) -> Column:
@@ -40,11 +40,13 @@ def preview(text: Column, most: int = 280) -> Column:
 
 
 def timestamp_text(seconds: Column) -> Column:
-    """h:mm:ss.ss, or m:ss.ss below an hour."""
-    hours, rest = F.floor(seconds / 3600), seconds - F.floor(seconds / 3600) * 3600
+    """h:mm:ss.ss, or m:ss.ss below an hour; times before 0 are 0, null is null."""
+    at = F.greatest(seconds.cast("double"), F.lit(0.0))
+    hours, rest = F.floor(at / 3600), at - F.floor(at / 3600) * 3600
     minutes = F.floor(rest / 60)
-    tail = F.format_string("%05.2f", (rest - minutes * 60).cast("double"))
-    return F.when(hours > 0, F.format_string("%d:%02d:%s", hours, minutes, tail)).otherwise(F.format_string("%d:%s", minutes, tail))
+    tail = F.format_string("%05.2f", rest - minutes * 60)
+    long = F.when(hours > 0, F.format_string("%d:%02d:%s", hours, minutes, tail)).otherwise(F.format_string("%d:%s", minutes, tail))
+    return F.when(seconds.isNotNull(), long)
 
 
 def duration_text(seconds: Column) -> Column:
@@ -53,7 +55,7 @@ def duration_text(seconds: Column) -> Column:
 
 
 def milliseconds_text(ms: Column) -> Column:
-    return F.when(ms < 1000, F.format_string("%.1f ms", ms.cast("double"))).otherwise(F.format_string("%.2f s", (ms / 1000).cast("double")))
+    return F.when(ms < 1000, F.format_string("%.2f ms", ms.cast("double"))).otherwise(F.format_string("%.2f s", (ms / 1000).cast("double")))
 
 
 def score_text(score: Column) -> Column:

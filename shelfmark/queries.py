@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark import cases
 from shelfmark.functions import identity as I
 from shelfmark.functions import text as X
 from shelfmark.functions import vectors as V
@@ -15,7 +16,7 @@ from shelfmark.operators import catalog as C
 from shelfmark.operators import metrics as M
 from shelfmark.operators import search as S
 from shelfmark.operators.chunking import chunk_blocks
-from shelfmark.operators.filters import Condition, Predicate, apply_predicate
+from shelfmark.operators.filters import Condition, MetadataQuery, Predicate, apply_predicate
 from shelfmark.operators.incremental import ChangeTracker, bare_hash
 from shelfmark.operators.ranking import rank_within
 from shelfmark.operators.timestamps import normalise_timestamps
@@ -206,12 +207,6 @@ def count_by_filter(spark, d):
     return apply_predicate(table(spark, d, "files"), rule).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scroll_page", "SELECT chunk_id, file_id FROM chunks WHERE chunk_id >= 40 AND slide_number IS NULL ORDER BY chunk_id LIMIT 51")
-def scroll_page(spark, d):
-    """One page of 50 in id order and the first row of the next: the page is the feature."""
-    return table(spark, d, "chunks").filter("chunk_id >= 40 and slide_number is null").orderBy("chunk_id").limit(51).select("chunk_id", "file_id")
-
-
 # ---- vector search ----------------------------------------------------------------------------
 
 
@@ -388,14 +383,9 @@ def duplicate_members(spark, d):
 
 @query("document_copies", "WITH t AS (SELECT sha256(text) AS content_hash, doc_id FROM documents WHERE text IS NOT NULL AND text <> '') SELECT content_hash, count(*) AS copies, min(doc_id) AS first_id FROM t GROUP BY ALL HAVING count(*) > 1")
 def document_copies(spark, d):
+    """Contents that several documents hold, with the first of them."""
     docs = table(spark, d, "documents").filter("text is not null and text <> ''").select(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"), "doc_id")
-    return docs.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
-
-
-@query("hash_lookup", f"WITH k AS (SELECT min({_HASH}) AS h FROM files) SELECT id, run_id FROM files, k WHERE {_HASH} = k.h")
-def hash_lookup(spark, d):
-    files = table(spark, d, "files").withColumn("h", bare_hash(F.col("content_hash")))
-    return files.join(F.broadcast(files.agg(F.min("h").alias("h"))), "h", "left_semi").select("id", "run_id")
+    return C.duplicate_members(docs, "content_hash", "doc_id").filter("position = 1").select("content_hash", "copies", F.col("doc_id").alias("first_id"))
 
 
 @query("point_lookup", f"WITH {_STORED}, w AS (SELECT file_id AS id, min(meta_id) AS position FROM document_meta GROUP BY ALL) SELECT w.id, w.position, s.h AS content_hash FROM w LEFT JOIN stored s ON s.id = w.id")
@@ -456,6 +446,140 @@ def store_writes(spark, d):
     return store.read("c").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _collection(spark, d, buckets: int = 16, distance: str = "cosine") -> tuple[Store, DataFrame]:
+    """A store with the embeddings as collection ``c``."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("number"), "label", F.col("embedding").alias("vec_v"))
+    store = Store(spark, scratch_path(spark, "store"), buckets)
+    store.create("c", rows.select("number", "label").schema, [VectorConfig("v", 64, distance)])
+    store.upsert("c", rows)
+    return store, rows
+
+
+@query("store_retrieve", "SELECT CAST(vec_id AS VARCHAR) AS id, label FROM embeddings WHERE vec_id % 7 = 0 UNION ALL SELECT CAST(vec_id AS VARCHAR), label FROM embeddings WHERE vec_id IN (1, 2)")
+def store_retrieve(spark, d):
+    """Records by a table of ids and by a list of ids; ids that aren't there are silently absent."""
+    store, rows = _collection(spark, d)
+    many = store.retrieve("c", rows.filter("number % 7 = 0").select("id").union(spark.createDataFrame([("none",)], "id string")))
+    return many.select("id", "label").unionByName(store.retrieve("c", ["1", "2", "none"]).select("id", "label"))
+
+
+@query("store_scroll", "WITH r AS (SELECT CAST(vec_id AS VARCHAR) AS id, row_number() OVER (ORDER BY CAST(vec_id AS VARCHAR)) AS n FROM embeddings WHERE label >= 3) SELECT CAST((n - 1) // 40 AS INTEGER) AS page, id FROM r WHERE n <= 120")
+def store_scroll(spark, d):
+    """Three pages of 40 in id order, each begun where the one before said; the pages are the feature."""
+    store, _ = _collection(spark, d)
+    rule, after, pages = Predicate(all_of=(Condition("label", "gte", 3),)), None, []
+    for k in range(3):
+        page, after = store.scroll("c", rule, 40, after)
+        pages.append(page.select(F.lit(k).alias("page"), "id"))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+@query("store_delete", "SELECT label, count(*) AS n, (SELECT count(*) FROM embeddings WHERE vec_id % 3 <> 0 AND label = 1) AS counted FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+def store_delete(spark, d):
+    """Records deleted by a table of ids, then counted with and without a filter; deleting nothing writes nothing."""
+    store, rows = _collection(spark, d)
+    store.delete("c", rows.filter("number % 3 = 0").select("id"))
+    store.delete("c", [])
+    counted = store.count("c", Predicate(all_of=(Condition("label", "equal", 1),)))
+    return store.read("c").groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("counted", F.lit(counted).cast("bigint"))
+
+
+@query("store_ensure", "SELECT CAST(vec_id AS VARCHAR) AS id, vec_id % 2 = 0 AS has_second, true AS exists, false AS other_exists, 'ValueError' AS other_size FROM embeddings")
+def store_ensure(spark, d):
+    """A vector name added to a collection that has rows, which lack it until they are written again; another size is an error."""
+    store, rows = _collection(spark, d)
+    payload = rows.select("number", "label").schema
+    store.ensure("c", payload, [VectorConfig("v", 64), VectorConfig("w", 2)])
+    other = cases.error_of(lambda: store.ensure("c", payload, [VectorConfig("v", 3)]))
+    store.upsert("c", rows.filter("number % 2 = 0").withColumn("vec_w", F.array(F.lit(1.0), F.lit(0.0))))
+    return store.read("c").select("id", F.col("vec_w").isNotNull().alias("has_second"), F.lit(store.exists("c")).alias("exists"), F.lit(store.exists("other")).alias("other_exists"), F.lit(other).alias("other_size"))
+
+
+@query("store_reopened", "SELECT label, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 77 ELSE label END AS label FROM embeddings) GROUP BY label")
+def store_reopened(spark, d):
+    """A collection of 16 buckets opened by a store that makes 64: records are replaced, not doubled."""
+    store, rows = _collection(spark, d)
+    again = Store(spark, store.root, 64)
+    again.upsert("c", rows.filter("number % 5 = 0").withColumn("label", F.lit(77)))
+    return again.read("c").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query("store_search_distance", f"SELECT CAST(e.vec_id AS VARCHAR) AS id, min({_SEARCHES[2][1]}) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id < 3) q WHERE e.label <> 4 GROUP BY ALL ORDER BY score, id LIMIT 15")
+def store_search_distance(spark, d):
+    """Several vectors on a collection of distances, with a filter: the smallest distance counts; a collection that isn't there is empty."""
+    store, _ = _collection(spark, d, distance="euclid")
+    found = store.search("c", _first_vectors(spark, d, 3), "v", 15, Predicate(none_of=(Condition("label", "equal", 4),)))
+    return found.select("id", F.round("score", 5).alias("score")).unionByName(store.search("none", [1.0], "v"))
+
+
+@query(
+    "store_children",
+    "WITH c AS (SELECT file_id, vec_id FROM prepared_segments QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY file_id) = 1), p AS (SELECT file_id FROM c GROUP BY file_id HAVING min(vec_id) % 3 = 0) "
+    "SELECT file_id AS parent_id, CASE WHEN file_id IN (SELECT file_id FROM p) THEN 1 ELSE count(*) END AS children FROM c GROUP BY file_id",
+)
+def store_children(spark, d):
+    """All children of a third of the parents replaced by one child each, in a collection whose buckets are those of the parents."""
+    children = C.latest(table(spark, d, "prepared_segments").select("vec_id", "file_id").withColumn("order", F.lit(1)), "vec_id", ["order"])
+    rows = children.select(F.col("vec_id").cast("string").alias("id"), F.col("file_id").alias("parent_id"), F.col("vec_id").alias("number"))
+    store = Store(spark, scratch_path(spark, "store"))
+    store.create("c", rows.select("parent_id", "number").schema, bucket_by="parent_id")
+    store.upsert("c", rows)
+    parents = rows.groupBy("parent_id").agg(F.min("number").alias("first")).filter("first % 3 = 0")
+    store.replace_children("c", parents.select(F.concat(F.lit("new-"), "parent_id").alias("id"), "parent_id"), parents.select(F.col("parent_id").alias("id")))
+    return store.read("c").groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))
+
+
+_META = "SELECT id, run_id, size_bytes % 2000 AS width, size_bytes % 300 AS height, size_bytes % 977 / 10.0 AS seconds, lower(file_name) AS name, format_key, modified_at FROM files"
+
+
+@query("metadata_filters", f"WITH m AS ({_META}) SELECT id, run_id FROM m WHERE width >= 100 AND width <= 1500 AND height >= 20 AND seconds > 10 AND seconds < 90 AND contains(name, 'a') AND format_key = 'jpeg' AND modified_at >= TIMESTAMP '2020-01-01' AND modified_at < TIMESTAMP '2026-01-01'")
+def metadata_filters(spark, d):
+    """Every kind of constraint at once on nested metadata; the format is given with another letter case and extension."""
+    import datetime as dt
+
+    nested = F.struct((F.col("size_bytes") % 2000).alias("width"), (F.col("size_bytes") % 300).alias("height"), (F.col("size_bytes") % 977 / 10.0).alias("duration_seconds"))
+    files = table(spark, d, "files").withColumn("file_name_search", F.lower("file_name")).withColumn("metadata", nested)
+    at = lambda year: dt.datetime(year, 1, 1, tzinfo=dt.timezone.utc)
+    wanted = MetadataQuery("A", ".JPG", 100, 20, 1500, None, None, None, 10.0, 90.0, at(2020), at(2026))
+    return apply_predicate(files, wanted.predicate()).select("id", "run_id")
+
+
+@query("relevant_ranks", f"WITH {_RANKED}, q AS (SELECT query_id, min(file_id) AS file_id FROM r GROUP BY ALL) SELECT q.query_id, CAST(min(r.rank) AS INTEGER) AS relevant_rank FROM q LEFT JOIN r ON r.query_id = q.query_id AND r.file_id = q.file_id GROUP BY ALL")
+def relevant_ranks(spark, d):
+    ranked = _ranked(spark, d)
+    return S.relevant_rank(ranked, ranked.groupBy("query_id").agg(F.min("file_id").alias("file_id")), "query_id", "file_id", "rank")
+
+
+@query("logical_ranks", f"WITH {_RANKED} SELECT query_id, substr(file_id, 1, 2) AS logical_id, min(rank) AS rank FROM r WHERE substr(file_id, 1, 1) = '3' GROUP BY ALL")
+def logical_ranks(spark, d):
+    """Best rank of each relevant logical document; files whose ids begin alike count as its variants."""
+    ranked = _ranked(spark, d)
+    logical = ranked.select("file_id", F.substring("file_id", 1, 2).alias("logical_id")).distinct()
+    wanted = ranked.filter(F.substring("file_id", 1, 1) == "3").select("query_id", F.substring("file_id", 1, 2).alias("logical_id")).distinct()
+    return S.logical_ranks(ranked, logical, wanted, "query_id", "file_id", "rank")
+
+
+@query("files_by_hash", f"WITH k AS (SELECT min({_HASH}) AS h FROM files) SELECT DISTINCT id, run_id, path_key FROM files, k WHERE {_HASH} = k.h")
+def files_by_hash(spark, d):
+    """Files of one content, by the lookup's own operator."""
+    files = table(spark, d, "files").withColumn("content_hash", bare_hash(F.col("content_hash"))).select("id", "run_id", "path_key", "content_hash").distinct()
+    return C.by_hash(files, files.agg(F.min("content_hash")).first()[0]).select("id", "run_id", "path_key")
+
+
+@query("plan_totals", f"WITH {_NEWEST}, {_STORED}, c AS (SELECT {_CHANGE} AS change FROM newest n LEFT JOIN stored s ON s.id = n.id) SELECT count(*) AS total, count(*) FILTER (change = 'new') AS new_files, count(*) FILTER (change = 'updated') AS updated_files, count(*) FILTER (change = 'unchanged') AS unchanged_files, count(*) FILTER (change IN ('new', 'updated')) AS work FROM c")
+def plan_totals(spark, d):
+    return C.plan_totals(C.change_counters(_changes(spark, d).withColumn("file_type", F.coalesce("file_type", F.lit("unknown")))))
+
+
+@query("segment_checks", "SELECT file_id, count(*) AS segments, count(*) FILTER (start_seconds IS NOT NULL AND end_seconds IS NOT NULL) AS timed FROM (SELECT DISTINCT file_id, segment_index, min(start_seconds) AS start_seconds, min(end_seconds) AS end_seconds FROM prepared_segments WHERE file_id IS NOT NULL AND segment_index >= 0 AND (start_seconds IS NULL) = (end_seconds IS NULL) AND (start_seconds IS NULL OR (start_seconds >= 0 AND end_seconds > start_seconds)) GROUP BY file_id, segment_index) GROUP BY file_id")
+def segment_checks(spark, d):
+    """Sound segments pass the checks as they are; each index of a file once."""
+    rows = table(spark, d, "prepared_segments").filter("file_id is not null and segment_index >= 0 and isnull(start_seconds) = isnull(end_seconds) and (start_seconds is null or (start_seconds >= 0 and end_seconds > start_seconds))")
+    once = rows.groupBy("file_id", "segment_index").agg(F.min("start_seconds").alias("start_seconds"), F.min("end_seconds").alias("end_seconds"))
+    checked = C.checked_segments(once.withColumnRenamed("file_id", "parent_id"))
+    return checked.groupBy(F.col("parent_id").alias("file_id")).agg(F.count(F.lit(1)).alias("segments"), F.sum(F.when(C.is_timed(), 1).otherwise(0)).alias("timed"))
+
+
 @query("query_language", "SELECT id, run_id FROM files WHERE contains(lower(file_name), 'ta') AND format_key = 'pdf' AND modified_at >= TIMESTAMP '2024-01-01' AND modified_at < TIMESTAMP '2025-06-01'")
 def query_language(spark, d):
     """Filters of the compact query language on the catalogue."""
@@ -594,8 +718,8 @@ def resource_summary(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | cases.SQL

@@ -318,9 +318,9 @@ def parse_pdf(raw: bytes) -> Parsed:
     out.created_at = _date(reader.get(info.get("CreationDate"))) or iso_time(first("xmp:CreateDate"))
     out.content_modified_at = _date(reader.get(info.get("ModDate"))) or iso_time(first("xmp:ModifyDate"))
     out.language = first("dc:language") or one_line(text_string(reader.get(reader.root.get("Lang")))) or None
-    stated = {"subject": get("Subject") or first("dc:description"), "creator": get("Creator") or first("xmp:CreatorTool"), "producer": get("Producer") or first("pdf:Producer")}
+    stated = {"subject": get("Subject") or first("dc:description"), "creator": get("Creator"), "producer": get("Producer") or first("pdf:Producer")}
     out.properties = {k: v for k, v in stated.items() if v}
-    out.properties["version"] = raw[raw.find(b"%PDF-") + 5 :][:3].decode("latin-1")
+    out.properties["pdf_version"] = raw[raw.find(b"%PDF-") + 5 :][:3].decode("latin-1")
     if words := first_distinct([*keyword_list(get("Keywords")), *keyword_list(first("pdf:Keywords")), *xmp.get("dc:subject", [])]):
         out.properties["keywords"] = words
     outline = reader.outline({number: k for k, (number, _) in enumerate(pages)})
