@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.llm import cases
 from shelfmark.llm.encode import encode_column
 from shelfmark.llm.language import departing_languages, dominant_language, fit, segment_languages
 from shelfmark.llm.markup import clean_markup
@@ -135,8 +136,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_members": p5_members, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p3_found": p3_found, "p4_found": p4_found, "p4_documents": p4_documents, "p5_found": p5_found, "p5_members": p5_members, "p6_found": p6_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found} | cases.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL} | cases.SQL
