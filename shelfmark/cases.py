@@ -758,8 +758,8 @@ TIMES = [
 ]
 
 
-@golden("p7_cases", "raw string, zone string, utc_us bigint", TIMES)
-def p7_cases(spark, _):
+@golden("case_timestamps", "raw string, zone string, utc_us bigint", TIMES)
+def case_timestamps(spark, _):
     """Strings of many origins and the instants they state; null for those that state none."""
     rows = spark.createDataFrame([(k, *t[:2]) for k, t in enumerate(TIMES)], "k bigint, raw string, zone string")
     return rows.join(normalise_timestamps(rows, "k", ["raw"], "zone").select("k", "utc_us"), "k").select("raw", "zone", "utc_us")
