@@ -7,6 +7,8 @@ files are ranked by their full vectors in double precision.
 
 Every vector is indexed. Equal vectors share one posting. A file that grows beyond ``list_rows`` is cut into tiles
 whose pairs are separate groups: no group is unbounded, no vector is dropped, and no pair of a file goes uncompared.
+A file beyond ``MOST_TILES`` tiles, where comparing all pairs would grow with the square of the collection, gets pivots of
+its own, and its members are posted in the files of the nearest of them; this is repeated as long as files stay that long.
 """
 
 from __future__ import annotations
@@ -29,6 +31,13 @@ PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 64, 4096
 LENGTH_PIVOTS = 1000
 #: Rows of one inverted file, and of one tile of a longer one.
 LIST_ROWS, TILE_ROWS = 4000, 2000
+#: Tiles up to which a long file is compared whole; a longer one is split by pivots of its own.
+MOST_TILES = 16
+#: Pivots of its own that a member of a split file is posted under, members for one such pivot, and rounds of splitting; what is still longer
+#: then (near-copies in their thousands, which no pivot tells apart) is compared in tiles.
+OWN_LENGTH, PER_OWN_PIVOT, ROUNDS = 4, 500, 4
+#: Rows of a split file that one task posts at a time.
+CHUNK_ROWS = 20_000
 #: Tables of long lists up to this many rows are broadcast (about 40 bytes each).
 BROADCAST_LISTS = 100_000
 
@@ -96,6 +105,7 @@ def similar_vectors(
     list_rows: int = LIST_ROWS,
     tile_rows: int = TILE_ROWS,
     per_pivot: int = PER_PIVOT,
+    most_tiles: int = MOST_TILES,
 ) -> DataFrame:
     """(vec_id, neighbour_id, cosine, rank): the ``k`` vectors of the same ``space`` most alike to every vector, by cosine.
 
@@ -137,7 +147,7 @@ def similar_vectors(
 
     kind = "class bigint, space string, asks boolean, near array<int>, code binary"
     indexed = materialise(classes.select("class", F.col("space").cast("string").alias("space"), "asks", "v").mapInArrow(order, kind), "permutations")
-    posts = _posts(indexed, list_rows, tile_rows)
+    posts = _posts(indexed, list_rows, tile_rows, most_tiles)
 
     keep = k + 5
     least = -2.0 if min_cosine is None else min_cosine - 0.02
@@ -162,20 +172,68 @@ def similar_vectors(
     return _members(base, scored, k)
 
 
-def _posts(indexed: DataFrame, list_rows: int, tile_rows: int) -> DataFrame:
-    """Postings (space, p, t, u, class, code, as_query, as_data) of bounded lists; t and u are -1 where a list needs no tiles."""
+def _near(df: DataFrame) -> DataFrame:
+    """A table of long lists, broadcast where its counted size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LISTS else df
+
+
+def _long_lists(posts: DataFrame, rows: int) -> DataFrame:
+    counts = posts.groupBy("space", "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows)
+    return materialise(counts.select(F.col("space").alias("ls"), F.col("p").alias("lp"), "n"), "long-lists")
 
-    def near(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_LISTS else df
 
-    slim = indexed.select("class", "space", F.explode("near").alias("p"))
-    counts = slim.groupBy("space", "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > list_rows)
-    long = materialise(counts.select(F.col("space").alias("ls"), F.col("p").alias("lp"), F.ceil(F.col("n") / F.lit(tile_rows)).alias("tiles")), "long-lists")
+def _split(posts: DataFrame, huge: DataFrame, per_pivot: int) -> DataFrame:
+    """Postings in which the members of huge lists are posted under the nearest of their list's own pivots instead.
+
+    The pivots of a list are a sample of its members, at most ``MOST_PIVOTS``; members are posted chunk by chunk, each with a copy of
+    the pivots, so that neither a list nor the pivots of all lists meet in one place.
+    """
+    huge = huge.withColumn("m", F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2 * OWN_LENGTH), F.ceil(F.col("n") / F.lit(per_pivot))))).withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK_ROWS)))
+    near = _near(huge)
+    on = (F.col("space") == F.col("ls")) & (F.col("p") == F.col("lp"))
+    light = posts.join(near, on, "left_anti")
+    heavy = posts.join(near, on).withColumn("draw", F.xxhash64("class", "p"))
+    # A draw by hash takes about m members, the same ones in every run.
+    drawn = heavy.filter(F.pmod("draw", F.lit(1_000_003)) < F.ceil(F.lit(1_000_003.0) * F.col("m") / F.col("n")))
+    own = drawn.groupBy("space", "p").agg(F.max("chunks").alias("chunks"), F.sort_array(F.collect_list(F.struct("draw", "code"))).alias("drawn"))
+    own = materialise(own.select("space", "p", "chunks", F.transform("drawn", lambda x: x["code"]).alias("pivots")), "own-pivots")
+    own = own.select("space", "p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), "pivots")
+    rows = heavy.select("space", "p", F.pmod(F.xxhash64("class", F.lit(9)), F.col("chunks")).alias("chunk"), "class", "code", "asks")
+
+    def post(members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        names = ["space", "p", "own", "class", "code", "asks"]
+        if not len(members):
+            return members.assign(own=0)[names]
+        if not len(pivots):
+            return members.assign(own=0)[names]
+        unpack = lambda codes: (v := np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), -1).astype(np.float32)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        table, own = unpack(list(pivots["pivots"].iloc[0])), unpack(list(members["code"]))
+        length = min(OWN_LENGTH, len(table))
+        best = np.concatenate([np.argpartition(-(own[k : k + 2048] @ table.T), length - 1, axis=1)[:, :length] for k in range(0, len(own), 2048)])
+        out = members.loc[members.index.repeat(length)].reset_index(drop=True)
+        return out.assign(own=best.ravel())[names]
+
+    kind = "space string, p bigint, own bigint, class bigint, code binary, asks boolean"
+    again = rows.groupBy("space", "p", "chunk").cogroup(own.groupBy("space", "p", "chunk")).applyInPandas(post, kind)
+    # Names of new lists; should two lists ever share one, they are only compared together.
+    return materialise(light.unionByName(again.withColumn("p", F.xxhash64("p", "own")).drop("own")), "split-lists")
+
+
+def _posts(indexed: DataFrame, list_rows: int, tile_rows: int, most_tiles: int) -> DataFrame:
+    """Postings (space, p, t, u, class, code, as_query, as_data) of bounded lists; t and u are -1 where a list needs no tiles."""
+    every = indexed.select("space", F.explode(F.col("near").cast("array<bigint>")).alias("p"), "class", "code", "asks")
+    long = _long_lists(every.select("space", "p"), list_rows)
+    for _ in range(ROUNDS):
+        huge = long.filter(F.col("n") > tile_rows * most_tiles)
+        if huge.isEmpty():
+            break
+        # The new lists hold about OWN_LENGTH * per members, half of what a list may hold at most.
+        every = _split(every, huge, max(1, min(PER_OWN_PIVOT, tile_rows * most_tiles // (2 * OWN_LENGTH))))
+        long = _long_lists(every.select("space", "p"), list_rows)
     if long.isEmpty():
-        posts = indexed.select("space", F.explode("near").alias("p"), "class", "code", "asks")
-        return posts.select("*", F.lit(-1).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("u"), F.col("asks").alias("as_query"), F.lit(True).alias("as_data"))
-    every = indexed.select("space", F.explode("near").alias("p"), "class", "code", "asks")
-    split = every.join(near(long), (F.col("space") == F.col("ls")) & (F.col("p") == F.col("lp")), "left")
+        return every.select("*", F.lit(-1).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("u"), F.col("asks").alias("as_query"), F.lit(True).alias("as_data"))
+    long = long.select("ls", "lp", F.ceil(F.col("n") / F.lit(tile_rows)).alias("tiles"))
+    split = every.join(_near(long), (F.col("space") == F.col("ls")) & (F.col("p") == F.col("lp")), "left")
     split = split.withColumn("tile", F.pmod(F.xxhash64("class", F.lit(5)), F.coalesce(F.col("tiles"), F.lit(1))))
     # A query tile meets every data tile: (t, u) = (tile of the query, tile of the data).
     sides = F.explode(

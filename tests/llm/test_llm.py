@@ -91,6 +91,21 @@ def test_vectors_among_many_pivots(spark):
     assert len(want & {(r.vec_id, r.neighbour_id) for r in found}) / len(want) >= 0.9
 
 
+def test_vectors_in_lists_split_by_pivots_of_their_own(spark, monkeypatch):
+    import shelfmark.llm.vectors as vectors
+
+    monkeypatch.setattr(vectors, "CHUNK_ROWS", 500)
+    points = np.float32(np.random.default_rng(6).normal(size=(3000, 12)))
+    df = spark.createDataFrame([(k, "a", [float(x) for x in v]) for k, v in enumerate(points)], "vec_id bigint, space string, v array<float>")
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1, keepdims=True)
+    cosine = unit[:150] @ unit.T
+    cosine[np.arange(150), np.arange(150)] = -9
+    want = {(a, int(b)) for a in range(150) for b in np.argsort(-cosine[a])[:5]}
+    # 64 lists of 750 rows, where at most 400 are compared whole.
+    found = similar_vectors(df, "vec_id", "space", "v", 5, dims=12, queries=F.col("vec_id") < 150, per_pivot=100_000, list_rows=300, tile_rows=200, most_tiles=2).collect()
+    assert len(want & {(r.vec_id, r.neighbour_id) for r in found}) / len(want) >= 0.9
+
+
 # ---- top n ------------------------------------------------------------------------------------
 
 
