@@ -1,9 +1,15 @@
-"""Evaluation and command line."""
+"""Evaluation, profiles and command lines."""
+
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.__main__ import main
+from shelfmark.evaluate import main as evaluate
+from shelfmark.operators.metrics import stage_profile
 from shelfmark.plans.evaluation import candidates, evaluate_documents, evaluate_single, measure_latency, sample_in_order
+from shelfmark.plans.profiling import Profile
 
 ROWS = [("a-md", [1.0, 0.0], "md"), ("a-pdf", [0.9, 0.1], "pdf"), ("b-md", [0.0, 1.0], "md"), ("b-md", [0.6, 0.6], "md")]
 
@@ -39,3 +45,43 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "docs" / "bad.pdf").write_text("no")
     assert main(["--index", str(tmp_path / "docs"), *library]) == 1
     assert main(["--index", str(tmp_path / "none"), *library]) == 2
+
+
+def test_evaluation_command(spark, tmp_path, capsys):
+    corpus = tmp_path / "corpus" / "Acme"
+    for fmt, body in (("md", "# Bees\n\nHoney in the hive."), ("html", "<h1>Bees</h1><p>Honey in the hive.</p>")):
+        (corpus / fmt).mkdir(parents=True)
+        (corpus / fmt / f"bees.{fmt}").write_text(body)
+        (corpus / fmt / f"lamps.{fmt}").write_text(body.replace("Bees", "Lamps").replace("Honey in the hive", "Invoices for lamps"))
+    library = str(tmp_path / "lib")
+    assert main(["--index", str(corpus), "--library", library]) == 0
+    out = capsys.readouterr().out
+    assert "Discovery complete" in out and "Text files  4 found · 4 new · 0 changed · 0 unchanged" in out
+    questions = tmp_path / "q.csv"
+    questions.write_text('Enterprise Name,Query Type,Query,Supporting Facts\nAcme,factual,Where is honey?,"[{""filename"": ""bees.pdf""}]"\nAcme,odd,Else?,"[{""filename"": ""none.pdf""}]"\n')
+    target = str(tmp_path / "runs" / "one.json")
+    run = [str(questions), "--target", "text", "--library", library, "--k", "1", "2", "--output", target]
+    assert evaluate([*run, "--latency-samples", "1", "--latency-warmup", "0"]) == 0
+    summary = json.loads((tmp_path / "runs" / "one.json").read_text())
+    assert summary["coverage"] == {"fully": 1, "skipped": 1} and summary["evaluated_queries"] == 1 and summary["query_latency_ms"]["n"] == 1
+    assert {(r["view"], r["k"]): r["hit"] for r in summary["all"]} == {("mixed", 1): 1.0, ("mixed", 2): 1.0, ("html", 1): 1.0, ("html", 2): 1.0, ("md", 1): 1.0, ("md", 2): 1.0}
+    assert evaluate(run) == 2
+    captions = tmp_path / "c.json"
+    captions.write_text('{"images": [], "annotations": []}')
+    assert evaluate([str(captions), "--target", "image", "--library", library]) == 0
+    for wrong in (["none.csv", "--target", "text"], [str(questions), "--target", "text", "--k", "0"], [str(questions)], [str(questions), "--target", "text", "--library", "/none"]):
+        assert evaluate([*wrong]) == 2
+
+
+def test_profile(spark):
+    profile = Profile()
+    with profile.span("run"):
+        with profile.span("parse", items=3) as inner:
+            inner.input_bytes = 10
+        with pytest.raises(KeyError), profile.span("store"):
+            raise KeyError("x")
+    events = {r.stage: r for r in profile.table(spark).collect()}
+    assert events["parse"].parent_id == events["run"].event_id and events["run"].parent_id is None and events["store"].error.startswith("KeyError")
+    assert profile.lacking(["run", "embed"]) == ["embed"]
+    summed = {r.event_type: r for r in stage_profile(profile.table(spark).withColumnRenamed("stage", "event_type"), "event_type", "duration_ms", "items", F.col("error").isNotNull(), "input_bytes", "cpu_ms").collect()}
+    assert summed["parse"].items == 3 and summed["parse"].bytes == 10 and summed["store"].errors == 1 and summed["run"].share == 1.0
