@@ -62,6 +62,7 @@ class Signer:
         count = bands * rows
         self.a = (rng.integers(0, 2**31, count, dtype=np.int64) * 2 + 1).astype(np.uint32)
         self.b = rng.integers(0, 2**32, count, dtype=np.int64).astype(np.uint32)
+        self.room = np.empty((256, count), dtype=np.uint32)
         self.mix = (rng.integers(0, 2**62, rows, dtype=np.int64) * 2 + 1).astype(np.uint64)
 
     def shingles(self, text: str) -> np.ndarray:
@@ -79,15 +80,14 @@ class Signer:
     def minima(self, text: str) -> np.ndarray:
         base = self.shingles(text).astype(np.uint32)
         low = np.full(len(self.a), 2**32 - 1, dtype=np.uint32)
-        # Blocks of shingles: memory stays flat for texts of any length. The shingle hashes are mixed already, so a
-        # multiplication and an addition permute them; the minima alone are mixed again, for their low bits.
-        room = np.empty((len(self.a), min(512, len(base))), dtype=np.uint32)
-        for at in range(0, len(base), 512):
-            block = base[at : at + 512]
-            h = room[:, : len(block)]
-            np.multiply(self.a[:, None], block[None, :], out=h)
-            h += self.b[:, None]
-            np.minimum(low, h.min(axis=1), out=low)
+        # Blocks of shingles: memory stays flat for texts of any length, and one block of it serves all texts. The shingle
+        # hashes are mixed already, so a multiplication and an addition permute them; the minima alone are mixed again, for their low bits.
+        for at in range(0, len(base), len(self.room)):
+            block = base[at : at + len(self.room)]
+            h = self.room[: len(block)]
+            np.multiply(block[:, None], self.a[None, :], out=h)
+            h += self.b[None, :]
+            np.minimum(low, np.minimum.reduce(h, axis=0), out=low)
         low ^= low >> np.uint32(16)
         low *= np.uint32(0x85EBCA6B)
         low ^= low >> np.uint32(13)
