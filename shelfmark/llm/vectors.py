@@ -1,9 +1,9 @@
 """The most similar vectors of every vector, through a permutation index.
 
-A bounded sample of the vectors serves as pivots. Every vector is posted in the inverted file of each of its nearest
-pivots. Inside an inverted file every member is compared with every other by their quantised vectors (pivot orders are
-nearly alike in a dense cluster, so that a ranking by their footrule distance can't choose there), and the best of all
-files are ranked by their full vectors in double precision.
+A bounded sample of the vectors serves as pivots. Every vector is represented by its nearest pivots in their order, and posted
+in the inverted file of each of them. Inside an inverted file the members are ranked for each query by the footrule distance of
+their orders; the best, and all that come near them (pivot orders are nearly alike in a dense cluster, where the footrule can't
+choose), are ranked again by quantised vectors, and the best of all files by their full vectors in double precision.
 
 Every vector is indexed. Equal vectors share one posting. A file that grows beyond ``list_rows`` is cut into tiles
 whose pairs are separate groups: no group is unbounded, no vector is dropped, and no pair of a file goes uncompared.
@@ -27,6 +27,8 @@ from shelfmark.session import materialise
 
 #: Vectors per pivot, and the bounds of the number of pivots (4,096 pivots of 64 floats are 1 MB).
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 100, 64, 4096
+#: Best members of an inverted file by footrule, and how much worse, in positions a pivot, one may be that is ranked again with them.
+RERANK, NEAR = 48, 4
 #: Pivots up to which ``length`` holds as given; beyond them it grows with the square root of their number.
 LENGTH_PIVOTS = 1000
 #: Rows of one inverted file, and of one tile of a longer one.
@@ -61,24 +63,56 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _compare_list(group: pd.DataFrame, keep: int, least: float) -> pd.DataFrame:
-    """Best pairs (a, b, approx) of one inverted file or tile pair; every query meets every row."""
+def _footrules(asked: np.ndarray, orders: np.ndarray) -> Iterator[np.ndarray]:
+    """Footrule distances of blocks of 256 pivot orders to all ``orders``; a pivot outside of an order stands right behind its end."""
+    length, n = orders.shape[1], len(orders)
+    pivots, local = np.unique(orders, return_inverse=True)
+    # place[pivot, row]: position of a pivot in the order of a row; the last line is that of pivots no row has.
+    place = np.full((len(pivots) + 1, n), length, dtype=np.uint8)
+    place[local.reshape(orders.shape), np.arange(n)[:, None]] = np.arange(length, dtype=np.uint8)
+    at = np.minimum(np.searchsorted(pivots, asked), len(pivots) - 1)
+    at = np.where(pivots[at] == asked, at, len(pivots))
+    places = np.arange(length + 1)
+    # What a pivot at position i of the query adds, by its position in the row: the difference, less what the row's own pivot would add if the query lacked it.
+    adds = (np.abs(np.arange(length)[:, None] - places[None, :]) - (length - places)[None, :]).astype(np.int16)
+    for begin in range(0, len(asked), 256):
+        block = at[begin : begin + 256]
+        out = np.full((len(block), n), length * (length + 1) // 2, dtype=np.int16)
+        for i in range(length):
+            out += adds[i][place[block[:, i]]]
+        yield out
+
+
+def _directions(codes: np.ndarray) -> np.ndarray:
+    """Quantised vectors at length 1."""
+    vectors = codes.astype(np.float32)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+
+def _compare_list(group: pd.DataFrame, keep: int, least: float, length: int, rerank: int) -> pd.DataFrame:
+    """Best pairs (a, b, approx) of one inverted file or tile pair."""
     queries, data = group[group["as_query"]], group[group["as_data"]]
     empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "approx": np.zeros(0)})
     if not len(queries) or len(data) < 1:
         return empty
 
-    def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        vectors = np.frombuffer(b"".join(part["code"]), np.int16).reshape(len(part), -1).astype(np.float32)
-        return part["class"].to_numpy(), vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+    def unpack(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"".join(part["code"]), np.int16).reshape(len(part), -1)
+        return part["class"].to_numpy(), codes[:, :length], _directions(codes[:, length:])
 
-    qid, q_vec = unpack(queries)
-    did, d_vec = unpack(data)
+    qid, q_order, q_vec = unpack(queries)
+    did, d_order, d_vec = unpack(data)
+    ranks = _footrules(q_order, d_order) if len(did) > rerank + 1 else None
     out_a, out_b, out_s = [], [], []
     for at in range(0, len(qid), 256):
         block = slice(at, at + 256)
         score = q_vec[block] @ d_vec.T
         score[qid[block][:, None] == did[None, :]] = -9.0
+        if ranks is not None:
+            footrule = next(ranks)
+            # The query itself is one of the rows.
+            last = np.partition(footrule, rerank, axis=1)[:, rerank]
+            score[footrule > (last + NEAR * length)[:, None]] = -9.0
         fit = score >= least
         crowded = np.nonzero(fit.sum(axis=1) > keep)[0]
         if len(crowded):
@@ -102,6 +136,7 @@ def similar_vectors(
     min_cosine: float | None = None,
     queries: Column | None = None,
     length: int = 16,
+    rerank: int = RERANK,
     list_rows: int = LIST_ROWS,
     tile_rows: int = TILE_ROWS,
     per_pivot: int = PER_PIVOT,
@@ -113,6 +148,7 @@ def similar_vectors(
     * Equal cosines (to nine decimals) go to the smaller key. Equal vectors are found exactly. A row repeated with its key counts once.
     * ``min_cosine`` drops less similar pairs early; ``queries`` is a condition on ``key`` for the vectors that ask (all by default).
     * ``length``: pivots a vector is posted under, more of them where there are more than ``LENGTH_PIVOTS`` pivots.
+    * ``rerank``: members of a file that are ranked again as the best by footrule, and with them all within ``NEAR`` positions a pivot.
     * Fewer vectors than ``k`` give fewer rows, an empty table none. Extra columns are ignored.
     """
     spark = vectors.sparkSession
@@ -141,17 +177,20 @@ def similar_vectors(
                 unit = _unit(_matrix(part.column(3), dims))
                 near = unit.astype(np.float32) @ table.T
                 best = np.argpartition(-near, length - 1, axis=1)[:, :length] if length < near.shape[1] else np.broadcast_to(np.arange(length), near.shape)
+                # Nearest first; of equally near ones the smaller number.
+                best = np.sort(best, axis=1)
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, axis=1), axis=1, kind="stable"), axis=1)
                 codes = np.rint(unit * (32767.0 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int16)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(best) + 1, dtype=np.int32) * length), pa.array(best.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array([r.tobytes() for r in codes], pa.binary())], names=["class", "space", "asks", "near", "code"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array([r.tobytes() for r in np.concatenate([best.astype(np.int16), codes], axis=1)], pa.binary())], names=["class", "space", "asks", "near", "code"])
 
     kind = "class bigint, space string, asks boolean, near array<int>, code binary"
     indexed = materialise(classes.select("class", F.col("space").cast("string").alias("space"), "asks", "v").mapInArrow(order, kind), "permutations")
-    posts = _posts(indexed, list_rows, tile_rows, most_tiles)
+    posts = _posts(indexed, length, list_rows, tile_rows, most_tiles)
 
     keep = k + 5
     least = -2.0 if min_cosine is None else min_cosine - 0.02
-    compare = lambda group: _compare_list(group, keep, least)
+    compare = lambda group: _compare_list(group, keep, least, length, rerank)
     found = posts.groupBy("space", "p", "t", "u").applyInPandas(compare, "a bigint, b bigint, approx double")
     merged = found.groupBy("a", "b").agg(F.max("approx").alias("approx"))
     best = merged.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("approx").desc(), "b"))).filter(F.col("r") <= keep)
@@ -182,7 +221,7 @@ def _long_lists(posts: DataFrame, rows: int) -> DataFrame:
     return materialise(counts.select(F.col("space").alias("ls"), F.col("p").alias("lp"), "n"), "long-lists")
 
 
-def _split(posts: DataFrame, huge: DataFrame, per_pivot: int) -> DataFrame:
+def _split(posts: DataFrame, huge: DataFrame, length: int, per_pivot: int) -> DataFrame:
     """Postings in which the members of huge lists are posted under the nearest of their list's own pivots instead.
 
     The pivots of a list are a sample of its members, at most ``MOST_PIVOTS``; members are posted chunk by chunk, each with a copy of
@@ -206,11 +245,11 @@ def _split(posts: DataFrame, huge: DataFrame, per_pivot: int) -> DataFrame:
             return members.assign(own=0)[names]
         if not len(pivots):
             return members.assign(own=0)[names]
-        unpack = lambda codes: (v := np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), -1).astype(np.float32)) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        unpack = lambda codes: _directions(np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), -1)[:, length:])
         table, own = unpack(list(pivots["pivots"].iloc[0])), unpack(list(members["code"]))
-        length = min(OWN_LENGTH, len(table))
-        best = np.concatenate([np.argpartition(-(own[k : k + 2048] @ table.T), length - 1, axis=1)[:, :length] for k in range(0, len(own), 2048)])
-        out = members.loc[members.index.repeat(length)].reset_index(drop=True)
+        count = min(OWN_LENGTH, len(table))
+        best = np.concatenate([np.argpartition(-(own[k : k + 2048] @ table.T), count - 1, axis=1)[:, :count] for k in range(0, len(own), 2048)])
+        out = members.loc[members.index.repeat(count)].reset_index(drop=True)
         return out.assign(own=best.ravel())[names]
 
     kind = "space string, p bigint, own bigint, class bigint, code binary, asks boolean"
@@ -219,7 +258,7 @@ def _split(posts: DataFrame, huge: DataFrame, per_pivot: int) -> DataFrame:
     return materialise(light.unionByName(again.withColumn("p", F.xxhash64("p", "own")).drop("own")), "split-lists")
 
 
-def _posts(indexed: DataFrame, list_rows: int, tile_rows: int, most_tiles: int) -> DataFrame:
+def _posts(indexed: DataFrame, length: int, list_rows: int, tile_rows: int, most_tiles: int) -> DataFrame:
     """Postings (space, p, t, u, class, code, as_query, as_data) of bounded lists; t and u are -1 where a list needs no tiles."""
     every = indexed.select("space", F.explode(F.col("near").cast("array<bigint>")).alias("p"), "class", "code", "asks")
     long = _long_lists(every.select("space", "p"), list_rows)
@@ -228,7 +267,7 @@ def _posts(indexed: DataFrame, list_rows: int, tile_rows: int, most_tiles: int)
         if huge.isEmpty():
             break
         # The new lists hold about OWN_LENGTH * per members, half of what a list may hold at most.
-        every = _split(every, huge, max(1, min(PER_OWN_PIVOT, tile_rows * most_tiles // (2 * OWN_LENGTH))))
+        every = _split(every, huge, length, max(1, min(PER_OWN_PIVOT, tile_rows * most_tiles // (2 * OWN_LENGTH))))
         long = _long_lists(every.select("space", "p"), list_rows)
     if long.isEmpty():
         return every.select("*", F.lit(-1).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("u"), F.col("asks").alias("as_query"), F.lit(True).alias("as_data"))
