@@ -63,24 +63,26 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _footrules(asked: np.ndarray, orders: np.ndarray) -> Iterator[np.ndarray]:
-    """Footrule distances of blocks of 256 pivot orders to all ``orders``; a pivot outside of an order stands right behind its end."""
-    length, n = orders.shape[1], len(orders)
-    pivots, local = np.unique(orders, return_inverse=True)
-    # place[pivot, row]: position of a pivot in the order of a row; the last line is that of pivots no row has.
-    place = np.full((len(pivots) + 1, n), length, dtype=np.uint8)
-    place[local.reshape(orders.shape), np.arange(n)[:, None]] = np.arange(length, dtype=np.uint8)
-    at = np.minimum(np.searchsorted(pivots, asked), len(pivots) - 1)
-    at = np.where(pivots[at] == asked, at, len(pivots))
-    places = np.arange(length + 1)
-    # What a pivot at position i of the query adds, by its position in the row: the difference, less what the row's own pivot would add if the query lacked it.
-    adds = (np.abs(np.arange(length)[:, None] - places[None, :]) - (length - places)[None, :]).astype(np.int16)
-    for begin in range(0, len(asked), 256):
-        block = at[begin : begin + 256]
-        out = np.full((len(block), n), length * (length + 1) // 2, dtype=np.int16)
-        for i in range(length):
-            out += adds[i][place[block[:, i]]]
-        yield out
+class _Footrule:
+    """Footrule distances of pivot orders to those of the members of one file; a pivot outside of an order stands right behind its end."""
+
+    def __init__(self, orders: np.ndarray):
+        self.size, self.length = orders.shape
+        self.pivots, local = np.unique(orders, return_inverse=True)
+        # place[pivot, row]: position of a pivot in the order of a row; the last line is that of pivots no row has.
+        self.place = np.full((len(self.pivots) + 1, self.size), self.length, dtype=np.uint8)
+        self.place[local.reshape(orders.shape), np.arange(self.size)[:, None]] = np.arange(self.length, dtype=np.uint8)
+        # What a pivot at position i of the query adds, by its position in the row: the difference, less what the row's own pivot would add if the query lacked it.
+        places = np.arange(self.length + 1)
+        self.adds = (np.abs(np.arange(self.length)[:, None] - places[None, :]) - (self.length - places)[None, :]).astype(np.int16)
+
+    def to_all(self, asked: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.pivots, asked), len(self.pivots) - 1)
+        at = np.where(self.pivots[at] == asked, at, len(self.pivots))
+        out = np.full((len(asked), self.size), self.length * (self.length + 1) // 2, dtype=np.int16)
+        for i in range(self.length):
+            out += self.adds[i][self.place[at[:, i]]]
+        return out
 
 
 def _directions(codes: np.ndarray) -> np.ndarray:
@@ -102,18 +104,23 @@ def _compare_list(group: pd.DataFrame, keep: int, least: float, length: int, rer
 
     qid, q_order, q_vec = unpack(queries)
     did, d_order, d_vec = unpack(data)
-    ranks = _footrules(q_order, d_order) if len(did) > rerank + 1 else None
+    ranks = None
     out_a, out_b, out_s = [], [], []
     for at in range(0, len(qid), 256):
         block = slice(at, at + 256)
         score = q_vec[block] @ d_vec.T
         score[qid[block][:, None] == did[None, :]] = -9.0
-        if ranks is not None:
-            footrule = next(ranks)
-            # The query itself is one of the rows.
-            last = np.partition(footrule, rerank, axis=1)[:, rerank]
-            score[footrule > (last + NEAR * length)[:, None]] = -9.0
         fit = score >= least
+        if len(did) > rerank + 1:
+            # Queries of which no member is alike enough need no ranking.
+            hopeful = np.flatnonzero(fit.any(axis=1))
+            if len(hopeful):
+                ranks = ranks or _Footrule(d_order)
+                footrule = ranks.to_all(q_order[block][hopeful])
+                # The query itself is one of the rows.
+                last = np.partition(footrule, rerank, axis=1)[:, rerank]
+                fit[hopeful] &= footrule <= (last + NEAR * length)[:, None]
+                score[~fit] = -9.0
         crowded = np.nonzero(fit.sum(axis=1) > keep)[0]
         if len(crowded):
             top = np.argpartition(score[crowded], score.shape[1] - keep, axis=1)[:, -keep:]
