@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.encode import TOKENIZERS, Encoder, Lexicon, _merger, encode_column
 from shelfmark.llm.language import Model, SuffixAutomaton, departing_languages, dominant_language, fit, letters_of, named_language, phrases, segment_languages
 from shelfmark.llm.markup import clean_block, clean_markup, main_content, parse_html
-from shelfmark.llm.neardup import Signer, agreement, estimate, expand, near_duplicates, normal_text, similar_classes
+from shelfmark.llm.neardup import Signer, agreement, class_links, class_members, estimate, expand, near_duplicates, normal_text, normal_texts, similar_classes
 from shelfmark.llm.packing import fill_by_likeness, fill_by_size, pack_containers
 from shelfmark.llm.sentences import sentences, split_sentences
 from shelfmark.llm.topn import top_n_per_group
@@ -452,3 +452,43 @@ def test_sentence_table(spark):
     df = spark.createDataFrame([(1, " 🙂 Abc. Cde! "), (1, " 🙂 Abc. Cde! "), (2, None)], "doc_id bigint, text string").withColumn("_key", F.lit(7))
     assert sorted(tuple(r) for r in split_sentences(df, "doc_id", "text").collect()) == [(1, 1, 7), (1, 1, 7), (1, 8, 12), (1, 8, 12)]
     assert split_sentences(df.limit(0), "doc_id", "text").count() == 0
+
+
+# ---- golden tables ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["case_markup", "case_sentence_spans", "p8_roundtrip", "p9_invariants"])
+def test_golden_table(spark, name):
+    import duckdb
+
+    from shelfmark.llm import cases
+
+    con = duckdb.connect()
+    for table in ("documents", "context_sizes"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    wanted = con.execute(cases.SQL[name])
+    columns = [c[0] for c in wanted.description]
+    rows = cases.QUERIES[name](spark, DATA).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, wanted.fetchall()))
+
+
+def test_members_and_links(spark):
+    rows = [("a1", "f", "x" * 30), ("a2", "f", "x" * 30), ("b1", "g", "x" * 30), ("c1", "h", "abcdefghij" * 4), ("d1", "i", "abcdefghij" * 4 + "k"), ("e1", "j", "something else altogether"), (None, "k", "x"), ("n", "k", None)]
+    df = spark.createDataFrame(rows, "key string, grp string, text string")
+    found = {r.key: (r.class_id, r.copies, r.links) for r in class_members(df, "key", "text", "grp", 5, 0.7, 50, 6).collect()}
+    assert {k: v[1:] for k, v in found.items()} == {"a1": (3, 0), "a2": (3, 0), "b1": (3, 0), "c1": (1, 1), "d1": (1, 1), "e1": (1, 0)}
+    assert found["a1"][0] == found["b1"][0] and {(r.class_a, r.class_b) for r in class_links(df, "key", "text", "grp", 5, 0.7, 50, 6).collect()} == {tuple(sorted((found["c1"][0], found["d1"][0])))}
+    assert class_members(df.limit(0), "key", "text", "grp", 5, 0.7, 50, 6).count() == 0
+
+
+def test_repeated_items_of_a_heavy_group(spark):
+    rows = [("h", 1.0 + (k % 7 == 0), f"f{k % 3}", None, k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "g string, score double, file string, seg int, id bigint")
+    top = [(r.file, r.score, r.id) for r in top_n_per_group(df, "g", "score", ["file", "seg"], "id", 2, heavy_rows=100, slice_rows=50).collect()]
+    assert sorted(top) == [("f0", 2.0, 0), ("f1", 2.0, 7)]
+
+
+def test_white_space_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, " a\u00a0\u202f b\r\n\tC\u2028\u3000d "), (2, None), (3, " \n")], "k int, t string")
+    both = normal_texts(rows.select("k", "t"), "t").join(rows.select("k", normal_text(F.col("t")).alias("u")), "k").collect()
+    assert {r.k: r.t for r in both} == {1: "a b C d", 2: None, 3: ""} and all(r.t == r.u for r in both)
