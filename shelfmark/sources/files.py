@@ -99,7 +99,7 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True, allowed_t
                         except OSError:
                             continue
                         if os.path.isfile(path):
-                            found.append((path, os.path.normcase(path), name, stat.st_size, int(stat.st_mtime * 1e6)))
+                            found.append((path, os.path.normcase(os.path.realpath(path)), name, stat.st_size, int(stat.st_mtime * 1e6)))
                     if len(found) >= 10_000:
                         yield _listing(found)
                         found = []
