@@ -2,8 +2,8 @@
 
 An exact count per group separates heavy groups from light ones. Light groups go through an
 ordinary window: one exchange on the group. Rows of heavy groups are cut into ranges of their
-score (edges from a quantile sketch of the whole group) and, inside a range, salted by the
-item, so that no task holds a whole heavy group, nor all rows of one score. Each slice keeps its own N
+score (edges from a quantile sketch of the whole group); ranges above which N items lie already are left behind, and the
+others are salted by the item, so that no task holds a whole heavy group, nor all rows of one score. Each slice keeps its own N
 best; N rows a slice then meet in a last window. A row among the N best of its group is among
 the N best of every slice it is in, so the result is exact.
 """
@@ -66,8 +66,15 @@ def top_n_per_group(
     edges = materialise(edges.select(F.col("_g").alias("_hg"), F.col("_n").alias("_m"), "_edges"), "heavy-edges")
     hot = hot.drop("_n").join(near(edges), hot["_g"].eqNullSafe(edges["_hg"]), "inner")
     reach = F.size(F.filter("_edges", lambda e: e <= F.col("_s")))
+    hot = hot.select("_g", "_m", *items, "_s", "_r", reach.alias("_range"))
+    # A range below which n items or more lie higher holds none of the n best: it goes no further.
+    sizes = hot.groupBy("_g", "_range").agg(F.count(F.lit(1)).alias("_c"))
+    higher = F.coalesce(F.sum("_c").over(W.partitionBy("_g").orderBy(F.col("_range").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lowest = sizes.withColumn("_higher", higher).filter(F.col("_higher") < n).groupBy("_g").agg(F.min("_range").alias("_lowest"))
+    lowest = materialise(lowest.withColumnRenamed("_g", "_lg"), "lowest-ranges")
+    hot = hot.join(near(lowest), hot["_g"].eqNullSafe(lowest["_lg"]), "inner").filter(F.col("_range") >= F.col("_lowest"))
     salt = F.pmod(F.xxhash64(*items), F.ceil(F.col("_m") / F.lit(RANGES * slice_rows)))
-    hot = hot.select("_g", *items, "_s", "_r", reach.alias("_range"), salt.alias("_salt"))
+    hot = hot.select("_g", *items, "_s", "_r", "_range", salt.alias("_salt"))
     hot_top = _top(_top(hot, ["_g", "_range", "_salt"], items, n).drop("_range", "_salt"), ["_g"], items, n)
     return _named(light_top.unionByName(hot_top), group, item, items, score, row_id)
 
