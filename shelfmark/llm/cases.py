@@ -101,5 +101,5 @@ def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"p8_roundtrip": p8_roundtrip, "p9_invariants": p9_invariants}
 SQL |= {
     "p8_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
-    "p9_invariants": "SELECT context_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS docs, 0 AS overfull, 0 AS torn, 0 AS gaps FROM context_sizes",
+    "p9_invariants": "SELECT context_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL AND text <> '') AS docs, 0::BIGINT AS overfull, 0::BIGINT AS torn, 0::BIGINT AS gaps FROM context_sizes",
 }
